@@ -29,6 +29,7 @@ IQR_REACH = 1.5
 
 ONE_HOT_COLUMNS = 1000
 DATE_FORMATS = [
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd HH:mm",

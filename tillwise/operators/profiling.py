@@ -124,47 +124,77 @@ def uniqueness(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def content_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Per text column: mean words, mean characters, distinct share, present share."""
-    columns = list(columns) if columns is not None else text_columns(df)
-    measures = [F.count(F.lit(1)).alias("n")]
+def _content_measures(df: DataFrame, columns: Sequence[str], tag: str) -> list[Column]:
+    measures = []
     for i, c in enumerate(columns):
         text = col(c).cast("string")
         measures += [
-            F.count(text).alias(f"p{i}"),
-            F.avg(F.size(words(text))).alias(f"w{i}"),
-            F.avg(F.char_length(text)).alias(f"l{i}"),
-            F.count_distinct(text).alias(f"d{i}"),
+            F.count(text).alias(f"{tag}p{i}"),
+            F.avg(F.size(words(text))).alias(f"{tag}w{i}"),
+            F.avg(F.char_length(text)).alias(f"{tag}l{i}"),
+            # 128-bit digests: texts may be long, and only their equality matters
+            F.count_distinct(F.md5(text)).alias(f"{tag}d{i}"),
         ]
-    lines = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.coalesce(F.col(f"w{i}"), F.lit(0.0)).alias("avg_words"),
-            F.coalesce(F.col(f"l{i}"), F.lit(0.0)).alias("avg_len"),
-            F.coalesce(F.try_divide(f"d{i}", f"p{i}"), F.lit(0.0)).alias("uniqueness"),
-            F.coalesce(F.try_divide(f"p{i}", "n"), F.lit(0.0)).alias("non_null_ratio"),
-        )
-        for i, c in enumerate(columns)
+    return measures
+
+
+def _content_fields(i: int, tag: str) -> list[Column]:
+    zero = F.lit(0.0)
+    return [
+        F.coalesce(f"{tag}w{i}", zero).alias("avg_words"),
+        F.coalesce(f"{tag}l{i}", zero).alias("avg_len"),
+        F.coalesce(F.try_divide(f"{tag}d{i}", f"{tag}p{i}"), zero).alias("uniqueness"),
+        F.coalesce(F.try_divide(f"{tag}p{i}", "n"), zero).alias("non_null_ratio"),
     ]
-    if not lines:
+
+
+def content_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Per text column: mean words, mean characters, distinct share, present share."""
+    columns = list(columns) if columns is not None else text_columns(df)
+    if not columns:
         schema = "column string, avg_words double, avg_len double, uniqueness double, non_null_ratio double"
         return df.sparkSession.createDataFrame([], schema)
-    return df.agg(*measures).select(F.inline(F.array(*lines)))
+    lines = [F.struct(F.lit(c).alias("column"), *_content_fields(i, "c")) for i, c in enumerate(columns)]
+    counted = df.agg(F.count(F.lit(1)).alias("n"), *_content_measures(df, columns, "c"))
+    return counted.select(F.inline(F.array(*lines)))
+
+
+def _valid_number(df: DataFrame, column: str) -> Column:
+    if isinstance(df.schema[column].dataType, T.StringType):
+        return to_number(col(column)).isNotNull()
+    return known(df, column).isNotNull() if is_numeric(df, column) else F.lit(False)
+
+
+def _valid_share(df: DataFrame, column: str) -> Column:
+    return F.coalesce(F.avg(F.when(_valid_number(df, column), 1.0).otherwise(0.0)), F.lit(0.0))
 
 
 def numeric_ratio(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of rows that hold a number, or text that reads as one."""
+    shares = df.agg(*[_valid_share(df, c).alias(f"r{i}") for i, c in enumerate(columns)])
+    lines = [F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("valid_ratio")) for i, c in enumerate(columns)]
+    return shares.select(F.inline(F.array(*lines)))
 
-    def valid(c: str) -> Column:
-        data_type = df.schema[c].dataType
-        if isinstance(data_type, T.StringType):
-            return to_number(col(c)).isNotNull()
-        return known(df, c).isNotNull() if is_numeric(df, c) else F.lit(False)
 
-    measures = [F.avg(F.when(valid(c), 1.0).otherwise(0.0)).alias(f"r{i}") for i, c in enumerate(columns)]
+def column_facts(df: DataFrame, dataset: str, date_columns: Sequence[str]) -> DataFrame:
+    """One row per column with type, content and numeric measures, from one aggregate."""
+    texts = text_columns(df)
+    measures = [F.count(F.lit(1)).alias("n"), *_content_measures(df, texts, "c")]
+    measures += [_valid_share(df, c).alias(f"r{i}") for i, c in enumerate(df.columns)]
+    blank = [F.lit(0.0).alias(c) for c in ("avg_words", "avg_len", "uniqueness", "non_null_ratio")]
     lines = [
-        F.struct(F.lit(c).alias("column"), F.coalesce(f"r{i}", F.lit(0.0)).alias("valid_ratio"))
-        for i, c in enumerate(columns)
+        F.struct(
+            F.lit(dataset).alias("dataset"),
+            F.lit(i).alias("position"),
+            F.lit(c).alias("column"),
+            F.lit(type_name(df.schema[c].dataType)).alias("dtype"),
+            F.lit(c in texts).alias("is_text"),
+            F.lit(c in date_columns).alias("is_date"),
+            F.col("n").alias("total_rows"),
+            *(_content_fields(texts.index(c), "c") if c in texts else blank),
+            F.col(f"r{i}").alias("valid_ratio"),
+        )
+        for i, c in enumerate(df.columns)
     ]
     return df.agg(*measures).select(F.inline(F.array(*lines)))
 

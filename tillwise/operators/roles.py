@@ -8,6 +8,7 @@ table is one ``min_by``; no rule list is joined.
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -15,8 +16,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.text import col, is_numeric
-from tillwise.operators.profiling import content_stats, looks_like_date, numeric_ratio, text_columns, type_name
+from tillwise.functions.text import col
+from tillwise.operators.profiling import (
+    DATE_LIKE,
+    SNIFFED_ROWS,
+    column_facts,
+    looks_like_date,
+    preview,
+    text_columns,
+    type_name,
+)
 
 # fixed values: name rules, in order of preference
 ID_KEYWORDS = ["customer", "cust", "user", "client", "member", "account", "phone", "email"]
@@ -55,45 +64,36 @@ NO_PROSE = (
 
 
 def catalogue(tables: Mapping[str, DataFrame], order_by: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """(dataset, position, column, dtype, is_text, measures) for every column of the tables.
+    """(dataset, position, column, dtype, is_text, is_date, measures) for all columns of the tables.
 
-    The date sniff of ten values runs only for tables where no column name says date or time.
+    One aggregate per table and a union of the results: a single job whose tables run side by side.
     """
     order_by = order_by or {}
-    parts = []
-    for name, df in tables.items():
-        spark = df.sparkSession
-        texts = text_columns(df)
-        lines = [
-            (name, i, f.name, type_name(f.dataType), f.name in texts, is_numeric(df, f.name))
-            for i, f in enumerate(df.schema)
-        ]
-        base = spark.createDataFrame(
-            lines, "dataset string, position int, column string, dtype string, is_text boolean, is_numeric boolean"
-        )
-        rated = [c for c in df.columns if c in texts or is_numeric(df, c)]
-        base = base.join(F.broadcast(content_stats(df, texts)), "column", "left")
-        base = base.join(F.broadcast(numeric_ratio(df, rated)), "column", "left")
-        dated = base.withColumn("is_date", F.col("dtype") == "datetime64[ns]")
-        if not any(k in c.lower() for c in df.columns for k in DATE_KEYWORDS):
-            for c in texts:
-                seen = looks_like_date(df, c, order_by.get(name, [])).select(
-                    F.lit(c).alias("column"), F.col("is_date").alias("_seen")
-                )
-                dated = dated.join(F.broadcast(seen), "column", "left")
-                dated = dated.withColumn("is_date", F.col("is_date") | F.coalesce("_seen", F.lit(False))).drop("_seen")
-        rows = df.agg(F.count(F.lit(1)).alias("total_rows"))
-        dated = dated.join(F.broadcast(rows.withColumn("dataset", F.lit(name))), "dataset")
-        parts.append(
-            dated.select(
-                "dataset", "position", "column", "dtype", "is_text", "is_date", "total_rows",
-                *[
-                    F.coalesce(c, F.lit(0.0)).alias(c)
-                    for c in ("avg_words", "avg_len", "uniqueness", "non_null_ratio", "valid_ratio")
-                ],
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(
+        DataFrame.unionByName,
+        [column_facts(df, name, _date_columns(df, order_by.get(name, []))) for name, df in tables.items()],
+    )
+
+
+def _date_columns(df: DataFrame, order_by: Sequence[str]) -> list[str]:
+    """Timestamp columns, and text columns that look like dates where no name says date or time.
+
+    Only the first is ever used, so ten values per column are looked at until one fits.
+    """
+    typed = [f.name for f in df.schema if type_name(f.dataType) == "datetime64[ns]"]
+    texts = text_columns(df)
+    if not texts or any(k in c.lower() for c in df.columns for k in DATE_KEYWORDS):
+        return typed
+    head = preview(df, order_by, SNIFFED_ROWS) if order_by else df.limit(SNIFFED_ROWS)
+    rows = head.select(*[col(c) for c in texts]).collect()
+    for c in texts:
+        values = [r[c] for r in rows if r[c] is not None]
+        found = any(re.search(DATE_LIKE, v) for v in values)
+        if not found and len(values) < len(rows):
+            found = looks_like_date(df, c, order_by).first()["is_date"]
+        if found:
+            return [*typed, c]
+    return typed
 
 
 # --- names ---

@@ -57,15 +57,26 @@ def with_log_features(rfm: DataFrame) -> DataFrame:
     )
 
 
-def flag_whales(rfm: DataFrame, cutoff: float) -> DataFrame:
-    """Append Is_Whale: an outlier whose Monetary reaches ``cutoff``."""
+def with_outlier_scores(rfm: DataFrame) -> DataFrame:
+    """Append lof_score and is_outlier of each customer's point to the RFM table."""
     logged = with_log_features(rfm)
-    scores = outlier_scores(logged, FEATURES)
     key = F.struct(*FEATURES)
-    marks = scores.select(key.alias("_point"), "is_outlier", "copies")
-    flagged = attach(logged.withColumn("_point", key), marks, "_point", "is_outlier", "copies")
+    marks = outlier_scores(logged, FEATURES).select(
+        key.alias("_point"), F.struct("lof_score", "is_outlier").alias("_mark"), "copies"
+    )
+    marked = attach(logged.withColumn("_point", key), marks, "_point", "_mark", "copies")
+    return marked.select(*[col(c) for c in rfm.columns], "_mark.lof_score", "_mark.is_outlier")
+
+
+def flag_whales(rfm: DataFrame, cutoff: float) -> DataFrame:
+    """Append Is_Whale: an outlier whose Monetary reaches ``cutoff``."""
     whale = F.col("is_outlier") & (F.col("Monetary") >= F.lit(cutoff))
-    return flagged.select(*[col(c) for c in rfm.columns], whale.alias("Is_Whale"))
+    return with_outlier_scores(rfm).select(*[col(c) for c in rfm.columns], whale.alias("Is_Whale"))
+
+
+def whales(rfm: DataFrame) -> DataFrame:
+    (cutoff,) = exact_quantiles(rfm, "Monetary", [WHALE_QUANTILE])
+    return flag_whales(rfm, cutoff).where("Is_Whale").drop("Is_Whale")
 
 
 def quartile(rank: Column, rows: int) -> Column:
@@ -85,8 +96,10 @@ def segment_label(whale: Column, r: Column, f: Column, m: Column) -> Column:
     )
 
 
-def rfm_segments(df: DataFrame, id_col: str, date_col: str, amount_col: str, whales: bool = True) -> DataFrame:
-    """RFM table with scores and Segment; ``whales=False`` skips the outlier search.
+def rfm_segments(
+    df: DataFrame, id_col: str, date_col: str, amount_col: str, find_whales: bool = True
+) -> DataFrame:
+    """RFM table with scores and Segment; ``find_whales=False`` skips the outlier search.
 
     Under ten customers everyone is a standard customer and there are no score columns.
     """
@@ -98,7 +111,7 @@ def rfm_segments(df: DataFrame, id_col: str, date_col: str, amount_col: str, wha
         raise ValueError(f"{undated} customers have no date in column {date_col!r}")
 
     cutoff, money_cap = exact_quantiles(rfm, "Monetary", [WHALE_QUANTILE, CAP_QUANTILE])
-    flagged = flag_whales(rfm, cutoff) if whales else rfm.withColumn("Is_Whale", F.lit(False))
+    flagged = flag_whales(rfm, cutoff) if find_whales else rfm.withColumn("Is_Whale", F.lit(False))
     (count_cap,) = exact_quantiles(rfm, "Frequency", [CAP_QUANTILE])
     ranked = with_global_rank(flagged, ["Recency", col(id_col)], "_r")
     ranked = with_global_rank(ranked, [F.least("Frequency", F.lit(count_cap)), col(id_col)], "_f")

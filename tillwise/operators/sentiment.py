@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.functions.lexicon import words_table
+from tillwise.functions.lexicon import BOOSTERS_DOWN, WEAKER, words_table
 from tillwise.functions.text import col, known, strip
 from tillwise.plans.lookups import SMALL_ROWS
 from tillwise.plans.scratch import save
@@ -33,7 +33,10 @@ TOP_PRODUCTS = 15
 SAMPLE_COMMENTS = 30
 NO_PRODUCT = "Unknown Product"
 
+TWO_WORD_WEAKER = [w for w in BOOSTERS_DOWN if " " in w]
+
 MARK = r"""(?:!\?!\?|\?!\?!|!!!|\?\?\?|\?!\?|!\?!|!!|\?\?|[.!?,;:\-'"])"""
+ENDS = ".!?,;:-'\""
 PLAIN = r"[^!-/:-@\[-`{-~]{2,}"
 ONE_MARK = f"^{MARK}({PLAIN})$|^({PLAIN}){MARK}$"
 
@@ -41,7 +44,13 @@ ONE_MARK = f"^{MARK}({PLAIN})$|^({PLAIN}){MARK}$"
 def tokens(text: Column) -> Column:
     """Pieces of two characters or more, one leading or trailing punctuation mark taken off."""
     pieces = F.filter(F.split(text, r"(?U)\s+"), lambda piece: F.length(piece) > 1)
-    return F.transform(pieces, lambda piece: F.regexp_replace(piece, ONE_MARK, "$1$2"))
+
+    def bare(piece: Column) -> Column:
+        # most pieces have no mark at either end, and the pattern costs far more than this look
+        ends = F.instr(F.lit(ENDS), F.left(piece, F.lit(1))) + F.instr(F.lit(ENDS), F.right(piece, F.lit(1))) > 0
+        return F.when(ends, F.regexp_replace(piece, ONE_MARK, "$1$2")).otherwise(piece)
+
+    return F.transform(pieces, bare)
 
 
 def _capital(token: Column) -> Column:
@@ -96,21 +105,33 @@ def _step(place: int) -> list[tuple[str, Column]]:
     emphatic = F.col("t1").isin("so", "this")
     if place == 2:
         factor = F.when(counts & (token == "never") & emphatic, 1.5).otherwise(factor)
+    updates = [("v", boosted), ("v", F.col("v") * factor)]
     if place == 3:
         emphatic = emphatic | F.col("t2").isin("so", "this")
         factor = F.when(counts & (token == "never") & emphatic, 1.25).otherwise(factor)
-    return [("v", boosted), ("v", F.col("v") * factor)]
+        softened = F.lower(F.concat_ws(" ", "t3", "t2")).isin(TWO_WORD_WEAKER) | F.lower(
+            F.concat_ws(" ", "t2", "t1")
+        ).isin(TWO_WORD_WEAKER)
+        updates = [("v", boosted), ("v", F.col("v") * factor + F.when(counts & softened, WEAKER).otherwise(0.0))]
+    return updates
 
 
 def score_reviews(
-    df: DataFrame, text_col: str, lexicon: DataFrame, key: Sequence[str], keep: Sequence[str] = ()
+    df: DataFrame,
+    text_col: str,
+    lexicon: DataFrame,
+    key: Sequence[str],
+    keep: Sequence[str] = (),
+    boost_words: DataFrame | None = None,
+    negation_words: DataFrame | None = None,
 ) -> DataFrame:
     """(key, keep, compound_score, sentiment), one row per review.
 
-    ``key`` must identify a row; ``lexicon`` has columns (word, valence).
+    ``key`` must identify a row; ``lexicon`` has columns (word, valence), ``boost_words``
+    (word, boost) and ``negation_words`` (word), the last two with published defaults.
     """
     names = [*key, *keep]
-    words = save(words_table(lexicon))
+    words = save(words_table(lexicon, boost_words, negation_words))
     small = words.count() <= SMALL_ROWS
 
     def lookup(place: int) -> DataFrame:
