@@ -26,6 +26,7 @@ from tillwise.operators.profiling import (
     text_columns,
     type_name,
 )
+from tillwise.plans.scratch import save
 
 # fixed values: name rules, in order of preference
 ID_KEYWORDS = ["customer", "cust", "user", "client", "member", "account", "phone", "email"]
@@ -67,12 +68,11 @@ def catalogue(tables: Mapping[str, DataFrame], order_by: Mapping[str, Sequence[s
     """(dataset, position, column, dtype, is_text, is_date, measures) for all columns of the tables.
 
     One aggregate per table and a union of the results: a single job whose tables run side by side.
+    The result has a row per column and is saved, as every role looks at it several times.
     """
     order_by = order_by or {}
-    return reduce(
-        DataFrame.unionByName,
-        [column_facts(df, name, _date_columns(df, order_by.get(name, []))) for name, df in tables.items()],
-    )
+    facts = [column_facts(df, name, _date_columns(df, order_by.get(name, []))) for name, df in tables.items()]
+    return save(reduce(DataFrame.unionByName, facts))
 
 
 def _date_columns(df: DataFrame, order_by: Sequence[str]) -> list[str]:

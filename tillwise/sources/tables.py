@@ -86,15 +86,8 @@ def read_csv(spark: SparkSession, path: str, row_id: str | None = None) -> DataF
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """One file per partition, with header; never gathers the table."""
-    df.write.csv(
-        path,
-        mode=mode,
-        header=True,
-        quote='"',
-        escape='"',
-        timestampFormat=MOMENT,
-        timestampNTZFormat=MOMENT,
-    )
+    moments = {"timestampFormat": MOMENT, "timestampNTZFormat": MOMENT}
+    df.write.mode(mode).options(header=True, quote='"', escape='"', **moments).csv(path)
     return path
 
 
