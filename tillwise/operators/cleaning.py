@@ -105,21 +105,10 @@ def carry(
     backward: bool = False,
     partition_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Fill from the previous (or, backward, the next) present value in row order.
-
-    Without ``partition_by`` the order runs over the whole table; see ``fill_in_order``.
-    """
+    """Fill from the previous (or, backward, the next) present value in row order, over the
+    whole table or within each key of ``partition_by``."""
     nulled = _replace_columns(df, {c: known(df, c) for c in columns})
-    if not partition_by:
-        return fill_in_order(nulled, columns, order_by, backward)
-    window = Window.partitionBy(*partition_by).orderBy(*order_by)
-    if backward:
-        window = window.rowsBetween(0, Window.unboundedFollowing)
-        new = {c: F.first(col(c), ignorenulls=True).over(window) for c in columns}
-    else:
-        window = window.rowsBetween(Window.unboundedPreceding, 0)
-        new = {c: F.last(col(c), ignorenulls=True).over(window) for c in columns}
-    return _replace_columns(nulled, new)
+    return fill_in_order(nulled, columns, order_by, backward, partition_by)
 
 
 def fill_missing(
@@ -152,10 +141,17 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 
 def _date_format(df: DataFrame, column: str) -> str:
-    """The first known format that reads every present value."""
-    parsed = [F.count(F.try_to_timestamp(col(column), F.lit(f))) for f in DATE_FORMATS]
-    present, *read = df.agg(F.count(col(column)), *parsed).first()
-    for pattern, n in zip(DATE_FORMATS, read):
+    """The first known format that reads every present value; one value narrows the choice."""
+
+    def read_by(pattern: str) -> Column:
+        return F.try_to_timestamp(col(column), F.lit(pattern))
+
+    some = df.where(col(column).isNotNull()).select(*[read_by(f).isNotNull() for f in DATE_FORMATS]).first()
+    likely = [f for f, fits in zip(DATE_FORMATS, some or []) if fits]
+    present, *read = df.agg(F.count(col(column)), *[F.count(read_by(f)) for f in likely]).first()
+    if not present:
+        return DATE_FORMATS[0]
+    for pattern, n in zip(likely, read):
         if n == present:
             return pattern
     raise ValueError(f"cannot convert column {column!r} to datetime64[ns]: no date format fits all values")

@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 200_000
 HOT_SHARE = 0.001
 SPREAD = 997
+LANES = 32
+
+
+def join_spread(big: DataFrame, small: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Inner join of ``big`` with a smaller table on ``key``, with ``big`` free to be skewed.
+
+    Up to SMALL_ROWS rows the small side is broadcast. Beyond that it is copied to a fixed
+    number of lanes, and the rows of one key of ``big`` are divided among them.
+    """
+    if small.count() <= SMALL_ROWS:
+        return big.join(F.broadcast(small), key)
+    lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))
+    copied = small.select("*", lanes.alias("_lane"))
+    lane = F.pmod(F.xxhash64(F.col(spread_by)), F.lit(LANES)).cast("int")
+    return big.withColumn("_lane", lane).join(copied, [key, "_lane"]).drop("_lane")
 
 
 def attach(df: DataFrame, dim: DataFrame, key: str, value: str, rows: str) -> DataFrame:

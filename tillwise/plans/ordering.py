@@ -63,35 +63,51 @@ def fill_in_order(
     columns: Sequence[str],
     order_by: Sequence[Column | str],
     backward: bool = False,
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Carry the last (or, backward, the next) non-null value over the whole table."""
-    placed = in_global_order(df, order_by)
-    if backward:
-        inside = Window.partitionBy(PART).orderBy(PLACE).rowsBetween(0, Window.unboundedFollowing)
-        outside = Window.orderBy(PART).rowsBetween(1, Window.unboundedFollowing)
-        pick, nearest = F.first, F.min_by
-    else:
-        inside = Window.partitionBy(PART).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
-        outside = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-        pick, nearest = F.last, F.max_by
-
-    # value each partition hands to its neighbours: one row per shuffle partition
-    edges = placed.groupBy(PART).agg(
+    """Carry the last (or, backward, the next) non-null value over the whole table.
+
+    With ``partition_by`` values stay within their key. The table is ordered by key first, so
+    a key of any size spreads over many tasks like everything else.
+    """
+    groups = [F.col(f"`{k}`") for k in partition_by]
+    placed = in_global_order(df, [*groups, *order_by])
+    # Always "the last present value so far", in the one direction or the other: a frame that
+    # ends at the current row is kept up step by step, one that starts there is scanned anew.
+    place, part = (F.desc(PLACE), F.desc(PART)) if backward else (F.asc(PLACE), F.asc(PART))
+    inside = Window.partitionBy(PART, *groups).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    outside = Window.partitionBy("_group").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = F.min_by if backward else F.max_by
+
+    # What a partition hands on per key. Only its first and last key can go on elsewhere, so
+    # two rows per shuffle partition are left.
+    key = F.struct(*groups) if partition_by else F.struct(F.lit(1).alias("_all"))
+    keyed = placed.withColumn("_group", key)
+    edges = keyed.groupBy(PART, "_group").agg(
         *[
             nearest(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col(PLACE))).alias(f"_edge{i}")
             for i, c in enumerate(columns)
-        ]
+        ],
+        F.min(PLACE).alias("_first"),
+        F.max(PLACE).alias("_last"),
+    )
+    ends = placed.groupBy(F.col(PART).alias("_p")).agg(F.min(PLACE).alias("_start"), F.max(PLACE).alias("_end"))
+    edges = edges.join(
+        F.broadcast(ends), (F.col(PART) == F.col("_p")) & ((F.col("_first") == F.col("_start")) | (F.col("_last") == F.col("_end")))
     )
     carried = edges.select(
-        PART,
-        *[pick(f"_edge{i}", ignorenulls=True).over(outside).alias(f"_carry{i}") for i in range(len(columns))],
+        F.col(PART).alias("_to"),
+        F.col("_group").alias("_to_group"),
+        *[F.last(f"_edge{i}", ignorenulls=True).over(outside).alias(f"_carry{i}") for i in range(len(columns))],
+    )
+    filled = keyed.join(
+        F.broadcast(carried), (F.col(PART) == F.col("_to")) & F.col("_group").eqNullSafe(F.col("_to_group")), "left"
     )
-    filled = placed.join(F.broadcast(carried), PART)
     filled = filled.withColumns(
         {
             c: F.coalesce(
                 F.col(f"`{c}`"),
-                pick(F.col(f"`{c}`"), ignorenulls=True).over(inside),
+                F.last(F.col(f"`{c}`"), ignorenulls=True).over(inside),
                 F.col(f"_carry{i}"),
             )
             for i, c in enumerate(columns)
