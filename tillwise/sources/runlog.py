@@ -13,9 +13,17 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA = T.StructType.fromDDL(
-    "dataset_id string, event string, at timestamp, display_name string, total_rows long, "
-    "total_cols int, module string, result string"
+SCHEMA = T.StructType(
+    [
+        T.StructField("dataset_id", T.StringType()),
+        T.StructField("event", T.StringType()),
+        T.StructField("at", T.TimestampType()),
+        T.StructField("display_name", T.StringType()),
+        T.StructField("total_rows", T.LongType()),
+        T.StructField("total_cols", T.IntegerType()),
+        T.StructField("module", T.StringType()),
+        T.StructField("result", T.StringType()),
+    ]
 )
 MODULES = ("segmentation", "recommendation", "reviews")
 SHOWN_TIME = "MMM dd, yyyy hh:mm a"
