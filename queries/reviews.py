@@ -65,7 +65,7 @@ def _by_role(spark, folder):
 
 
 def _samples(spark, folder):
-    documents = _documents(spark, folder)
+    documents = table(spark, folder, "documents")
     scores = save(_document_scores(spark, folder))
     products = s.sentiment_by_product(scores, "product")
     return s.comment_samples(documents, "text", scores, products, "product", ["doc_id"], ["doc_id"])

@@ -8,6 +8,7 @@ which Catalyst pushes to the scan. Nothing is joined to attach a constant.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from tillwise.functions import text
 from tillwise.functions.formula import formula
-from tillwise.functions.text import col, is_numeric, known
+from tillwise.functions.text import col, is_float, is_numeric, known
 from tillwise.plans import lookups
 from tillwise.plans.ordering import fill_in_order, with_global_rank
 from tillwise.plans.quantiles import exact_quantiles
@@ -53,7 +54,13 @@ def _replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return df.dropna(how="any", subset=list(columns or df.columns))
+    """Keep rows with every named column present; plain null tests, which reach the file scan."""
+    tests = []
+    for c in columns or df.columns:
+        tests.append(col(c).isNotNull())
+        if is_float(df, c):
+            tests.append(~F.isnan(col(c)))
+    return df.where(reduce(Column.__and__, tests)) if tests else df
 
 
 def _fill_constants(df: DataFrame, constants: dict[str, object]) -> DataFrame:
