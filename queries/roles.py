@@ -8,15 +8,15 @@ from queries import TABLES, table
 from tillwise.operators import roles as r
 
 
-def _catalogue(spark, folder):
+def _catalogue(spark, folder, measure_all=False):
     tables = {name: table(spark, folder, name) for name in TABLES}
-    return r.catalogue(tables, {name: df.columns[:1] for name, df in tables.items()})
+    return r.catalogue(tables, {name: df.columns[:1] for name, df in tables.items()}, measure_all)
 
 
 def _facts(spark, folder):
     measures = ["avg_words", "avg_len", "uniqueness", "non_null_ratio", "valid_ratio"]
     columns = ["dataset", "position", "column", "is_text", "is_date", "total_rows"]
-    return _catalogue(spark, folder).select(*columns, *[F.round(c, 6).alias(c) for c in measures])
+    return _catalogue(spark, folder, measure_all=True).select(*columns, *[F.round(c, 6).alias(c) for c in measures])
 
 
 def _over_catalogue(operator):

@@ -8,7 +8,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.text import col, known
+from tillwise.functions.text import known
 from tillwise.operators.popularity import item_text
 from tillwise.plans.ordering import shuffle_width
 from tillwise.plans.scratch import save
@@ -52,7 +52,7 @@ def build_baskets(
     A quantity that is missing does not put its item into the basket.
     """
     lines = df.select(
-        col(invoice_col).alias("invoice"),
+        known(df, invoice_col).alias("invoice"),
         item_text(df, item_col).alias("item"),
         (known(df, qty_col).isNotNull() if qty_col and qty_col in df.columns else F.lit(True)).alias("bought"),
     ).where("invoice IS NOT NULL")

@@ -176,23 +176,27 @@ def numeric_ratio(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return shares.select(F.inline(F.array(*lines)))
 
 
-def column_facts(df: DataFrame, dataset: str, date_columns: Sequence[str]) -> DataFrame:
-    """One row per column with type, content and numeric measures, from one aggregate."""
-    texts = text_columns(df)
+def column_facts(df: DataFrame, dataset: str, date_columns: Sequence[str], measured: Sequence[str]) -> DataFrame:
+    """One row per column with its type and, for the ``measured`` ones, content measures.
+
+    One aggregate that reads only the measured columns; the others show zeros.
+    """
+    texts = [c for c in text_columns(df) if c in measured]
     measures = [F.count(F.lit(1)).alias("n"), *_content_measures(df, texts, "c")]
-    measures += [_valid_share(df, c).alias(f"r{i}") for i, c in enumerate(df.columns)]
-    blank = [F.lit(0.0).alias(c) for c in ("avg_words", "avg_len", "uniqueness", "non_null_ratio")]
+    measures += [_valid_share(df, c).alias(f"r{i}") for i, c in enumerate(df.columns) if c in measured]
+    zero = F.lit(0.0)
+    blank = [zero.alias(c) for c in ("avg_words", "avg_len", "uniqueness", "non_null_ratio")]
     lines = [
         F.struct(
             F.lit(dataset).alias("dataset"),
             F.lit(i).alias("position"),
             F.lit(c).alias("column"),
             F.lit(type_name(df.schema[c].dataType)).alias("dtype"),
-            F.lit(c in texts).alias("is_text"),
+            F.lit(isinstance(df.schema[c].dataType, T.StringType)).alias("is_text"),
             F.lit(c in date_columns).alias("is_date"),
             F.col("n").alias("total_rows"),
             *(_content_fields(texts.index(c), "c") if c in texts else blank),
-            F.col(f"r{i}").alias("valid_ratio"),
+            (F.col(f"r{i}") if c in measured else zero).alias("valid_ratio"),
         )
         for i, c in enumerate(df.columns)
     ]

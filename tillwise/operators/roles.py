@@ -64,17 +64,39 @@ NO_PROSE = (
 )
 
 
-def catalogue(tables: Mapping[str, DataFrame], order_by: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+def catalogue(
+    tables: Mapping[str, DataFrame], order_by: Mapping[str, Sequence[str]] | None = None, measure_all: bool = False
+) -> DataFrame:
     """(dataset, position, column, dtype, is_text, is_date, measures) for all columns of the tables.
 
-    One aggregate per table and a union of the results: a single job whose tables run side by side.
-    The result has a row per column and is saved, as every role looks at it several times.
+    One aggregate per table and a union of the results: a single job whose tables run side by
+    side. Content is measured where the name makes the column a candidate for a role judged by
+    content (or everywhere, on request), so no other column is read. The result has a row per
+    column and is saved, as every role looks at it several times.
     """
     order_by = order_by or {}
-    facts = [column_facts(df, name, _date_columns(df, order_by.get(name, []))) for name, df in tables.items()]
+    measured = {name: df.columns for name, df in tables.items()} if measure_all else _candidates(tables)
+    facts = [
+        column_facts(df, name, _date_columns(df, order_by.get(name, [])), measured.get(name, []))
+        for name, df in tables.items()
+    ]
     return save(reduce(DataFrame.unionByName, facts))
 
 
+def _candidates(tables: Mapping[str, DataFrame]) -> dict[str, list[str]]:
+    """Columns whose names suggest review text, a product or a rating, by table."""
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame(
+        [(name, c) for name, df in tables.items() for c in df.columns], "dataset string, column string"
+    )
+    scored = _with_name_scores(names)
+    hits = scored.where((F.col("_review") > 0) | (F.col("_product") > 0) | _holds(RATING))
+    found: dict[str, list[str]] = {}
+    for row in hits.select("dataset", "column").collect():
+        found.setdefault(row["dataset"], []).append(row["column"])
+    return found
+
+
 def _date_columns(df: DataFrame, order_by: Sequence[str]) -> list[str]:
     """Timestamp columns, and text columns that look like dates where no name says date or time.
 
@@ -135,13 +157,13 @@ def closest_ratio(words: Column, keywords: list[str]) -> Column:
 
 
 def name_score(words: Column, strong: list[str], weak: list[str]) -> Column:
-    def holds(keywords: list[str]) -> Column:
+    def has(keywords: list[str]) -> Column:
         return F.arrays_overlap(words, F.array(*[F.lit(k) for k in keywords]))
 
     near_strong, near_weak = closest_ratio(words, strong), closest_ratio(words, weak)
     return (
-        F.when(holds(strong), float(STRONG_SCORE))
-        .when(holds(weak), float(WEAK_SCORE))
+        F.when(has(strong), float(STRONG_SCORE))
+        .when(has(weak), float(WEAK_SCORE))
         .when(near_strong > 0, STRONG_SCORE * FUZZY_SHARE * near_strong)
         .when(near_weak > 0, WEAK_SCORE * FUZZY_SHARE * near_weak)
         .otherwise(0.0)
@@ -179,21 +201,26 @@ def recommendation_roles(columns: DataFrame) -> DataFrame:
     )
 
 
-def review_roles(columns: DataFrame) -> DataFrame:
-    """(dataset, review_col, product_col, rating_col); the name decides, the content breaks ties."""
-    words = columns.withColumn("_words", name_tokens(F.col("column")))
+def _holds(keywords: list[str]) -> Column:
+    return F.arrays_overlap("_words", F.array(*[F.lit(k) for k in keywords]))
 
-    def holds(keywords: list[str]) -> Column:
-        return F.arrays_overlap("_words", F.array(*[F.lit(k) for k in keywords]))
 
-    scored = words.select(
+def _with_name_scores(columns: DataFrame) -> DataFrame:
+    words = columns.withColumn("_words", name_tokens(F.col("column")))
+    return words.select(
         "*",
         name_score(F.col("_words"), STRONG_REVIEW, WEAK_REVIEW).alias("_review"),
         name_score(F.col("_words"), STRONG_PRODUCT, WEAK_PRODUCT).alias("_product"),
-        (F.least("avg_words", F.lit(float(MAX_WORDS))) + F.col("uniqueness") * UNIQUE_SHARE).alias("_content"),
+    )
+
+
+def review_roles(columns: DataFrame) -> DataFrame:
+    """(dataset, review_col, product_col, rating_col); the name decides, the content breaks ties."""
+    scored = _with_name_scores(columns).withColumn(
+        "_content", F.least("avg_words", F.lit(float(MAX_WORDS))) + F.col("uniqueness") * UNIQUE_SHARE
     )
     prose = (
-        F.col("is_text") & ~holds(ID_LIKE) & (F.col("_review") > 0)
+        F.col("is_text") & ~_holds(ID_LIKE) & (F.col("_review") > 0)
         & (F.col("avg_words") >= MIN_WORDS) & (F.col("non_null_ratio") >= MIN_PRESENT)
     )
     reviews = scored.groupBy("dataset").agg(
@@ -202,11 +229,11 @@ def review_roles(columns: DataFrame) -> DataFrame:
     left = scored.join(reviews, "dataset").where(~F.col("column").eqNullSafe(F.col("review_col")))
     length = F.when(F.col("is_text"), F.col("avg_len")).otherwise(0.0)
     products = left.groupBy("dataset").agg(
-        _winner("product_col", ~holds(PERSON) & (F.col("_product") > 0), -F.col("_product"), length, F.col("position"))
+        _winner("product_col", ~_holds(PERSON) & (F.col("_product") > 0), -F.col("_product"), length, F.col("position"))
     )
     left = left.join(products, "dataset").where(~F.col("column").eqNullSafe(F.col("product_col")))
     ratings = left.groupBy("dataset").agg(
-        _winner("rating_col", holds(RATING) & (F.col("valid_ratio") > MIN_NUMERIC), F.col("position"))
+        _winner("rating_col", _holds(RATING) & (F.col("valid_ratio") > MIN_NUMERIC), F.col("position"))
     )
     return reviews.join(products, "dataset", "left").join(ratings, "dataset", "left")
 

@@ -38,7 +38,7 @@ def rfm_table(df: DataFrame, id_col: str, date_col: str, amount_col: str) -> Dat
     if isinstance(dated.schema[date_col].dataType, T.DateType):
         last = last.cast("timestamp")
     grouped = save(
-        dated.groupBy(col(id_col)).agg(
+        dated.groupBy(known(dated, id_col).alias(id_col)).agg(
             F.max(last).alias("_last"),
             F.count(F.lit(1)).alias("Frequency"),
             F.coalesce(F.sum(known(df, amount_col)), F.lit(0)).cast("double").alias("Monetary"),

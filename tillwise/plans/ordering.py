@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillwise.plans.scratch import save
 
@@ -29,7 +30,8 @@ def in_global_order(df: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
     of any size spread over many partitions.
     """
     keys = [F.col(k) if isinstance(k, str) else k for k in keys]
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    # maps have no hash; the other columns tell rows apart well enough to spread them
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)])
     keys = [*keys, tie.asc()]
     numbered = (
         df.repartitionByRange(shuffle_width(df), *keys)
