@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from queries import customers, reviews, table
 from tillwise.operators import cleaning as c
 from tillwise.operators import segments as sg
-from tillwise.operators import sentiment as s
 from tillwise.operators.history import EditHistory
 from tillwise.plans.scratch import shared_folder
 from tillwise.sources.runlog import RunLog

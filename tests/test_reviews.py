@@ -1,5 +1,4 @@
 import pytest
-from conftest import values
 from pyspark.sql import functions as F
 
 from tillwise.functions.lexicon import seed_lexicon

@@ -21,12 +21,16 @@ MIN_LIFT = 1.0
 
 @dataclass
 class Baskets:
-    """Distinct items per basket as small codes; ``total`` counts emptied baskets too."""
+    """Distinct items per basket as small codes; ``total`` counts emptied baskets too.
+
+    ``mined`` keeps the itemsets once they are found, for the reports made from them.
+    """
 
     rows: DataFrame
     names: list[str]
     total: int
     least: int
+    mined: DataFrame | None = None
 
 
 def _least_count(total: int, share: float) -> int:
@@ -75,9 +79,14 @@ def build_baskets(
 
 def _coded_itemsets(baskets: Baskets) -> DataFrame:
     """Saved (codes, freq) of every frequent itemset, codes ascending."""
-    spark = baskets.rows.sparkSession
+    if baskets.mined is None:
+        baskets.mined = _mine(baskets)
+    return baskets.mined
+
+
+def _mine(baskets: Baskets) -> DataFrame:
     if not baskets.names:
-        return spark.createDataFrame([], "codes array<int>, freq long")
+        return baskets.rows.sparkSession.createDataFrame([], "codes array<int>, freq long")
     rows = save(baskets.rows)
     filled = rows.count()
     # the miner rounds its threshold up from a share of the rows it sees

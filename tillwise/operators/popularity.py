@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.text import col, is_numeric, known, strip
+from tillwise.functions.text import is_numeric, known, strip
 
 
 def item_text(df: DataFrame, item_col: str) -> Column:

@@ -262,7 +262,8 @@ def review_suitability(columns: DataFrame) -> DataFrame:
         F.max("total_rows").alias("_rows"), F.bool_or("is_text").alias("_has_text")
     )
     empty = F.col("_rows") == 0
-    reason = F.when(empty, EMPTY_TABLE).when(F.col("review_col").isNull(), F.when(F.col("_has_text"), NO_PROSE).otherwise(NO_TEXT))
+    unfit = F.when(F.col("_has_text"), NO_PROSE).otherwise(NO_TEXT)
+    reason = F.when(empty, EMPTY_TABLE).when(F.col("review_col").isNull(), unfit)
     joined = review_roles(columns).join(facts, "dataset")
     return joined.select(
         "dataset",

@@ -94,9 +94,8 @@ def fill_in_order(
         F.max(PLACE).alias("_last"),
     )
     ends = placed.groupBy(F.col(PART).alias("_p")).agg(F.min(PLACE).alias("_start"), F.max(PLACE).alias("_end"))
-    edges = edges.join(
-        F.broadcast(ends), (F.col(PART) == F.col("_p")) & ((F.col("_first") == F.col("_start")) | (F.col("_last") == F.col("_end")))
-    )
+    outermost = (F.col("_first") == F.col("_start")) | (F.col("_last") == F.col("_end"))
+    edges = edges.join(F.broadcast(ends), (F.col(PART) == F.col("_p")) & outermost)
     carried = edges.select(
         F.col(PART).alias("_to"),
         F.col("_group").alias("_to_group"),

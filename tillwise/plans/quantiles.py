@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
@@ -83,7 +83,7 @@ def _above(values: DataFrame, start: float, high: float, below: int) -> tuple[fl
     return row["v"], below, row["w"], row["r"]
 
 
-def _at_ranks(values: DataFrame, ranks: list[int], total: "Row") -> dict[int, float]:
+def _at_ranks(values: DataFrame, ranks: list[int], total: Row) -> dict[int, float]:
     brackets = [_Bracket(r, total["lo"], total["hi"], 0, total["w"], total["r"]) for r in ranks]
     while any(b.open for b in brackets):
         _narrow(values, brackets)
