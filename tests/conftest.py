@@ -19,6 +19,8 @@ def spark(tmp_path_factory):
         "local[4]",
         **{
             "spark.sql.shuffle.partitions": "4",
+            # small tables would end up in one partition and hide what crosses partitions
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
             "spark.driver.memory": "4g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

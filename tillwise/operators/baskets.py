@@ -91,7 +91,9 @@ def _mine(baskets: Baskets) -> DataFrame:
     filled = rows.count()
     # the miner rounds its threshold up from a share of the rows it sees
     share = (baskets.least - 0.5) / filled
-    miner = FPGrowth(itemsCol="items", minSupport=min(1.0, share), numPartitions=shuffle_width(rows))
+    # at most 500 items to divide the work by, so more tasks than cores gain nothing
+    parts = min(shuffle_width(rows), rows.sparkSession.sparkContext.defaultParallelism)
+    miner = FPGrowth(itemsCol="items", minSupport=min(1.0, share), numPartitions=parts)
     found = miner.fit(rows).freqItemsets
     return save(found.select(F.array_sort("items").alias("codes"), F.col("freq").cast("long")))
 

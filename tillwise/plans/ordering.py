@@ -34,7 +34,8 @@ def in_global_order(df: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
     tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)])
     keys = [*keys, tie.asc()]
     numbered = (
-        df.repartitionByRange(shuffle_width(df), *keys)
+        # no fixed number: adaptive execution may merge neighbouring ranges of a small table
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn(PLACE, F.monotonically_increasing_id())
         .withColumn(PART, F.shiftright(PLACE, 33).cast("int"))
