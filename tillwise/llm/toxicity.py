@@ -3,7 +3,8 @@
 Voters look for single words of a lexicon (a fixed list and words mined from labelled training rows) and for patterns.
 How often each fires, and each two together, is counted over all documents. Where voters are independent given the class
 the covariances of their votes are a rank-one matrix; the factor gives each voter's accuracy, and what it leaves over
-gives the correlated pairs, whose votes then count less. The posterior labels train a logistic classifier on the votes.
+gives the correlated pairs, whose votes then count less. The posterior labels train a logistic classifier on the votes and
+on whether any trusted voter fires.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ SEED_WORDS = (
 WORDS = re.compile(r"[^\W\d_]+")
 # labelled training documents that words are mined from, and documents that the classifier is fitted on, at most
 LABELLED, FITTED = 20_000, 20_000
-MINED, LEAST_SUPPORT, LEAST_ODDS, LEAST_GAIN = 64, 3, 3.0, 12.0
-PATTERNS = ("second_person", "shouting", "exclaims", "several")
+MINED, LEAST_SUPPORT, LEAST_ODDS, LEAST_GAIN = 64, 3, 2.5, 25.0
+# how much likelier a voter must fire on toxic texts to count for the classifier's joint input
+TRUSTED = 10.0
+PATTERNS = ("second_person", "shouting", "exclaims")
 FLOOR = 1e-4
 THRESHOLD = 0.3
 SLICE = 1000
@@ -64,8 +67,6 @@ class Voters:
             found.append(n + 1)
         if text.count("!") * 100 > letters > 0:
             found.append(n + 2)
-        if sum(i < n for i in found) >= 2:
-            found.append(n + 3)
         return found
 
     def matrix(self, texts: list[str | None]) -> np.ndarray:
@@ -186,7 +187,13 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def train_linear(votes: np.ndarray, soft: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+def inputs(votes: np.ndarray, labels: LabelModel) -> np.ndarray:
+    """The classifier's input: all votes, and whether any voter that the label model trusts fires."""
+    trusted = labels.toxic >= TRUSTED * labels.clean
+    return np.hstack([votes, (votes[:, trusted] > 0).any(axis=1, keepdims=True)])
+
+
+def train_linear(votes: np.ndarray, soft: np.ndarray, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic weights and bias on soft labels, by Newton steps; equal vote rows are pooled first."""
     rows, where = np.unique(votes, axis=0, return_inverse=True)
     n = np.bincount(where.ravel(), minlength=len(rows)).astype(float)
@@ -214,7 +221,8 @@ class Model:
     bias: float
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.voters.matrix(texts) @ self.weights + self.bias, -30, 30)))
+        fired = inputs(self.voters.matrix(texts), self.labels)
+        return 1 / (1 + np.exp(-np.clip(fired @ self.weights + self.bias, -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -235,7 +243,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             both[r["i"], r["j"]] = r["n"]
     model = LabelModel.fit(both, n, prior)
     votes = _votes(docs, text, voters, FITTED)
-    weights, bias = train_linear(votes, model.posterior(votes)) if len(votes) else (np.zeros(v), math.log(prior / (1 - prior)))
+    weights, bias = np.zeros(v + 1), math.log(prior / (1 - prior))
+    if len(votes):
+        weights, bias = train_linear(inputs(votes, model), model.posterior(votes))
     return Model(voters, model, weights, bias)
 
 
