@@ -278,14 +278,15 @@ def near_duplicates(
     found = save(components(links))
 
     # what the stars left apart: members of one bucket in several components, its hub aside
-    apart = save(_labelled(placed.where("rep <> hub").select("bucket", "rep"), found, "rep", "group"))
+    apart = save(_labelled(placed.where("rep <> hub").select("bucket", "rep", "hub"), found, "rep", "group"))
     mixed = apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("group").alias("lo"), F.max("group").alias("hi"))
     apart = save(apart.join(mixed.where("lo <> hi").select("bucket", "size"), "bucket"))
-    home = apart.groupBy("rep").agg(F.max(F.struct("size", "bucket")).alias("h")).select("rep", "h.bucket")
+    # a class is at home with the hub of its largest bucket, which the buckets of one dense group share
+    home = apart.groupBy("rep").agg(F.max(F.struct("size", "hub")).alias("h")).select("rep", "h.hub")
     home = save(home.join(classes.select("rep", "n"), "rep"))
-    load = home.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-    home = home.join(load.select("bucket", chunks.alias("chunks")), "bucket")
-    home = save(home.select("rep", F.xxhash64("bucket", chunk).alias("block")))
+    load = home.groupBy("hub").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    home = home.join(load.select("hub", chunks.alias("chunks")), "hub")
+    home = save(home.select("rep", F.xxhash64("hub", chunk).alias("block")))
     touched = save(apart.join(home, "rep").select("bucket", "block").distinct())
     left, right = touched.withColumnRenamed("block", "x"), touched.withColumnRenamed("block", "y")
     meetings = left.join(right, "bucket").where("x <= y").select("x", "y").distinct()
