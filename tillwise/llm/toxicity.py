@@ -35,6 +35,8 @@ LABELLED, FITTED = 20_000, 20_000
 MINED, LEAST_SUPPORT, LEAST_ODDS, LEAST_GAIN = 64, 3, 2.5, 25.0
 # how much likelier a voter must fire on toxic texts to count for the classifier's joint input
 TRUSTED = 10.0
+# excess correlation from which two voters are held to be dependent
+CORRELATED = 0.2
 PATTERNS = ("second_person", "shouting", "exclaims")
 FLOOR = 1e-4
 THRESHOLD = 0.3
@@ -155,21 +157,28 @@ class LabelModel:
         cov = both / n - np.outer(fires, fires)
         spread = np.sqrt(np.maximum(fires * (1 - fires), 1e-12))
         mask = ~np.eye(v, dtype=bool) & (np.diag(both) > 0)[:, None] & (np.diag(both) > 0)[None, :]
-        pairs: list[tuple[int, int]] = []
+        # what chance alone would leave of a covariance
+        chance = np.sqrt(np.outer(fires, fires) / n)
+        sure = mask & (cov > 4 * chance)
         factor = np.zeros(v)
-        for _ in range(8):
-            factor = spread * np.sqrt(prior * 0.5)
-            for _ in range(100):
-                square = np.where(mask, factor[None, :] ** 2, 0).sum(axis=1)
-                new = np.where(mask, cov * factor[None, :], 0).sum(axis=1) / np.maximum(square, 1e-15)
-                factor = 0.5 * factor + 0.5 * np.maximum(new, 0)
+        for i in range(v):
+            j, k = np.nonzero(np.triu(sure & sure[i][:, None] & sure[i][None, :], 1))
+            if len(j):
+                # of three independent voters any one's share follows; a low middle value stands correlated pairs
+                factor[i] = math.sqrt(np.quantile(cov[i, j] * cov[i, k] / cov[j, k], 0.4))
+        pairs: list[tuple[int, int]] = []
+        for _ in range(20):
             rest = np.where(mask, (cov - np.outer(factor, factor)) / np.outer(spread, spread), 0)
             i, j = np.unravel_index(np.argmax(rest), rest.shape)
             # what the class does not explain is a correlation of the two voters themselves
-            if rest[i, j] < 0.2:
+            if rest[i, j] < CORRELATED:
                 break
-            pairs.append((min(i, j), max(i, j)))
+            pairs.append((int(min(i, j)), int(max(i, j))))
             mask[i, j] = mask[j, i] = False
+        for _ in range(200):
+            square = np.where(mask, factor[None, :] ** 2, 0).sum(axis=1)
+            new = np.where(mask, cov * factor[None, :], 0).sum(axis=1) / np.maximum(square, 1e-15)
+            factor = 0.5 * factor + 0.5 * np.maximum(new, 0)
         toxic = np.clip(fires + factor * math.sqrt((1 - prior) / prior), FLOOR, 1 - FLOOR)
         clean = np.clip(fires - factor * math.sqrt(prior / (1 - prior)), FLOOR, 1 - FLOOR)
         # a voter that does not follow the common factor says nothing
