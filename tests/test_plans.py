@@ -63,9 +63,9 @@ def test_quantiles_count_weights_and_skip_missing(spark):
     assert exact_quantiles(df.where("v is null"), "v", [0.5]) == [None]
 
 
-@pytest.mark.parametrize("small_rows", [10_000, 0])
-def test_attach_gives_every_row_its_value(spark, monkeypatch, small_rows):
-    monkeypatch.setattr(lookups, "SMALL_ROWS", small_rows)
+@pytest.mark.parametrize("small", [1 << 20, -1])
+def test_attach_gives_every_row_its_value(spark, monkeypatch, small):
+    monkeypatch.setattr(lookups, "SMALL_BYTES", small)
     keys = ["hot"] * 500 + [f"k{i}" for i in range(300)]
     df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, id int")
     dim = df.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).withColumn("code", F.length("key"))
@@ -73,9 +73,9 @@ def test_attach_gives_every_row_its_value(spark, monkeypatch, small_rows):
     assert sorted((r["id"], r["code"]) for r in got) == [(i, len(k)) for i, k in enumerate(keys)]
 
 
-@pytest.mark.parametrize("small_rows", [10_000, 0])
-def test_join_spread_is_the_plain_join(spark, monkeypatch, small_rows):
-    monkeypatch.setattr(lookups, "SMALL_ROWS", small_rows)
+@pytest.mark.parametrize("small", [1 << 20, -1])
+def test_join_spread_is_the_plain_join(spark, monkeypatch, small):
+    monkeypatch.setattr(lookups, "SMALL_BYTES", small)
     big = spark.range(600).select((F.col("id") % 3).alias("item"), F.col("id").alias("user"))
     small = spark.createDataFrame([(0, "x"), (0, "y"), (2, "z")], "item long, target string")
     got = lookups.join_spread(big, small, "item", "user")

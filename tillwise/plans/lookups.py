@@ -2,38 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 200_000
+from tillwise.functions.text import col
+
+# what may be broadcast or handled by one task, measured before it is
+SMALL_BYTES = 32 << 20
 HOT_SHARE = 0.001
 SPREAD = 997
-LANES = 32
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row in memory: its texts and 16 bytes for everything else."""
+    size = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind not in ("string", "binary"):
+            continue
+        size = size + F.coalesce(F.octet_length(col(name)), F.lit(0))
+    return size
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the measured size of ``df`` is within SMALL_BYTES."""
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= SMALL_BYTES
 
 
 def join_spread(big: DataFrame, small: DataFrame, key: str, spread_by: str) -> DataFrame:
     """Inner join of ``big`` with a smaller table on ``key``, with ``big`` free to be skewed.
 
-    Up to SMALL_ROWS rows the small side is broadcast. Beyond that it is copied to a fixed
-    number of lanes, and the rows of one key of ``big`` are divided among them.
+    Up to SMALL_BYTES the small side is broadcast. Beyond that the keys with over 0.1 % of the rows of ``big`` (so
+    under 1,000) are split into as many lanes as they hold such shares, and only their rows of ``small`` are copied.
     """
-    if small.count() <= SMALL_ROWS:
+    if is_small(small):
         return big.join(F.broadcast(small), key)
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))
-    copied = small.select("*", lanes.alias("_lane"))
-    lane = F.pmod(F.xxhash64(F.col(spread_by)), F.lit(LANES)).cast("int")
-    return big.withColumn("_lane", lane).join(copied, [key, "_lane"]).drop("_lane")
+    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    share = max(1.0, HOT_SHARE * (counts.agg(F.sum("_rows")).first()[0] or 0))
+    lanes = counts.where(F.col("_rows") > share).select(
+        F.col(key).alias("_hot"), F.ceil(F.col("_rows") / share).cast("int").alias("_lanes")
+    )
+    width = F.coalesce("_lanes", F.lit(1))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(lanes), F.col(key) == F.col("_hot"), "left")
+
+    lane = F.pmod(F.xxhash64(F.col(spread_by)), width).cast("int")
+    left = marked(big).withColumn("_lane", lane).drop("_hot", "_lanes")
+    copies = F.explode(F.sequence(F.lit(0), width - 1))
+    right = marked(small).select("*", copies.alias("_lane")).drop("_hot", "_lanes")
+    return left.join(right, [key, "_lane"]).drop("_lane")
 
 
 def attach(df: DataFrame, dim: DataFrame, key: str, value: str, rows: str) -> DataFrame:
     """Left-join ``dim[value]`` on a non-null ``key``; ``dim[rows]`` is the key's row count in ``df``.
 
-    A dimension of up to SMALL_ROWS rows is broadcast. A larger one is shuffled, except for the
+    A dimension of up to SMALL_BYTES is broadcast. A larger one is shuffled, except for the
     keys that each hold over 0.1 % of all rows: there are under 1,000 of those, so they are
     broadcast, and their fact rows are spread over the shuffle instead of meeting in one task.
     """
-    size = dim.agg(F.count(F.lit(1)).alias("n"), F.sum(rows).alias("rows")).first()
-    if size["n"] <= SMALL_ROWS:
+    size = dim.agg(F.sum(row_bytes(dim)).alias("bytes"), F.sum(rows).alias("rows")).first()
+    if (size["bytes"] or 0) <= SMALL_BYTES:
         return df.join(F.broadcast(dim.select(key, value)), key, "left")
 
     hot = F.col(rows) > F.lit(size["rows"] * HOT_SHARE)
