@@ -37,6 +37,12 @@ def _itemsets(item):
     return run
 
 
+def _itemsets_limited(spark, folder):
+    """Only the ten items in the most baskets take part."""
+    found = b.frequent_itemsets(b.build_baskets(_lines(spark, folder), "l_orderkey", "p_brand", "l_quantity", item_limit=10))
+    return found.select(F.array_join("items", ", ").alias("items"), "freq", F.round("support", 9).alias("support"))
+
+
 def _rules(item):
     def run(spark, folder):
         rules = b.association_rules(b.build_baskets(_lines(spark, folder), "l_orderkey", item, "l_quantity"))
@@ -74,21 +80,32 @@ def _weights_by_rows(spark, folder):
 
 
 def _similar(spark, folder):
-    near = n.similar_users(save(_weights(spark, folder)))
+    weights = save(_weights(spark, folder))
+    near = n.similar_users(weights, n.first_users(weights))
     return near.select("user", "neighbour", F.round("similarity", 9).alias("similarity"), "place")
 
 
 def _candidates(spark, folder):
     weights = save(_weights(spark, folder))
-    return n.candidate_items(weights, save(n.similar_users(weights)))
+    return n.candidate_items(weights, save(n.similar_users(weights, n.first_users(weights))))
 
 
 def _served(spark, folder):
-    return n.recommend_to_users(_sales(spark, folder), "o_custkey", "p_name", "l_quantity")
+    targets = n.first_users(_weights(spark, folder))
+    return n.recommend_to_users(_sales(spark, folder), "o_custkey", "p_name", "l_quantity", targets)
+
+
+def _served_many(spark, folder):
+    """Customers of twenty nations, one of them with nothing but weights of zero."""
+    sales = _sales(spark, folder).withColumn("qty", F.expr("CASE WHEN o_custkey = 4 THEN 0 ELSE l_quantity END"))
+    targets = table(spark, folder, "customer").where("c_nationkey < 20").select("c_custkey")
+    return n.recommend_to_users(sales, "o_custkey", "p_name", "qty", targets)
 
 
 def _served_cold(spark, folder):
-    return n.recommend_to_users(table(spark, folder, "events"), "user_id", "event_type", "value")
+    events = table(spark, folder, "events")
+    targets = n.first_users(n.user_item_weights(events, "user_id", "event_type", "value"))
+    return n.recommend_to_users(events, "user_id", "event_type", "value", targets)
 
 
 def _choice(spark, folder):
@@ -100,7 +117,7 @@ def _choice(spark, folder):
         "l_partkey": {"user_col": "o_custkey", "invoice_col": "l_orderkey", "qty_col": "l_quantity"},
         "p_brand": {},
     }.items():
-        chosen = recommend(sales, item, **options)
+        chosen = recommend(sales, item, **options, targets=n.first_users(n.user_item_weights(sales, "o_custkey", item)))
         parts.append(
             chosen.popular_items.select(
                 F.lit(item).alias("item_col"), F.lit(chosen.algorithm_code).alias("algorithm_code"), "item", "score"
@@ -153,13 +170,13 @@ def _found_sql(item):
     )
 
 
-def _similar_sql(source, user, item, qty):
+def _similar_sql(source, user, item, qty, targets="true ORDER BY u LIMIT 10"):
     return f"""{source},
     w AS (SELECT {user} AS u, {item} AS i, sum({qty}) AS w FROM sales GROUP BY 1, 2),
     norm AS (SELECT u, sqrt(sum(w * w)) AS n FROM w GROUP BY u),
-    target AS (SELECT u AS t, n AS tn FROM norm ORDER BY u LIMIT 10),
+    target AS (SELECT u AS t, n AS tn FROM norm WHERE {targets}),
     dots AS (SELECT t, b.u, sum(a.w * b.w) AS dot FROM target JOIN w a ON a.u = t JOIN w b ON b.i = a.i GROUP BY t, b.u),
-    sim AS (SELECT t, norm.u, coalesce(dot / (tn * n), 0) AS s FROM target CROSS JOIN norm
+    sim AS (SELECT t, norm.u, coalesce(dot / nullif(tn * n, 0), 0) AS s FROM target CROSS JOIN norm
             LEFT JOIN dots USING (t, u) WHERE t <> norm.u),
     near AS (SELECT t, u, s, row_number() OVER (PARTITION BY t ORDER BY s DESC, u) AS place FROM sim
              QUALIFY row_number() OVER (PARTITION BY t ORDER BY s DESC, u) <= 5),
@@ -176,6 +193,11 @@ def _similar_sql(source, user, item, qty):
 SIMILAR = _similar_sql(SALES, "o_custkey", "p_name", "l_quantity")
 SIMILAR_EVENTS = _similar_sql("sales AS (SELECT * FROM events)", "user_id", "event_type", "value")
 
+SIMILAR_MANY = _similar_sql(
+    SALES, "o_custkey", "p_name", "CASE WHEN o_custkey = 4 THEN 0 ELSE l_quantity END",
+    "u IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)",
+)
+
 QUERIES = {
     "popular_by_quantity": (
         _popular("l_quantity"),
@@ -194,6 +216,13 @@ QUERIES = {
     ),
     "itemsets_type": (_itemsets("p_type"), _found_sql("p_type")),
     "itemsets_brand": (_itemsets("p_brand"), _found_sql("p_brand")),
+    "itemsets_limited": (
+        _itemsets_limited,
+        _found_sql("p_brand").replace(
+            "often AS (SELECT i FROM pairs GROUP BY i HAVING count(*) / (SELECT n FROM total) >= 0.01)",
+            "often AS (SELECT i FROM pairs GROUP BY i ORDER BY count(*) DESC, i LIMIT 10)",
+        ),
+    ),
     "itemsets_none": (_itemsets("l_partkey"), _found_sql("l_partkey")),
     "association_rules": (_rules("p_type"), _rules_sql("p_type")),
     "association_rules_brand": (_rules("p_brand"), _rules_sql("p_brand")),
@@ -216,6 +245,7 @@ QUERIES = {
         f'WITH {SIMILAR} SELECT t AS "user", i AS item, score, place::INT AS place FROM fresh WHERE place <= 5',
     ),
     "recommend_to_users": (_served, f"WITH {SIMILAR} SELECT * FROM served"),
+    "recommend_to_users_many": (_served_many, f"WITH {SIMILAR_MANY} SELECT * FROM served"),
     "recommend_best_sellers": (_served_cold, f"WITH {SIMILAR_EVENTS} SELECT * FROM served"),
     "recommend_choice": (
         _choice,

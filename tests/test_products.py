@@ -104,8 +104,9 @@ def test_neighbours_and_candidates_match_the_dense_matrix(ratings, targets):
     weights = n.save(
         n.user_item_weights(ratings, "who", "item", "qty")
     )
-    near = n.similar_users(weights, targets)
-    users = targets or sorted(m.index)[:10]
+    named = targets and weights.sparkSession.createDataFrame([(t,) for t in targets], "u string")
+    near = n.similar_users(weights, named)
+    users = targets or sorted(m.index)
     found = {}
     for row in near.orderBy("user", "place").collect():
         found.setdefault(row["user"], []).append((row["neighbour"], row["similarity"]))
@@ -125,6 +126,22 @@ def test_neighbours_and_candidates_match_the_dense_matrix(ratings, targets):
         assert not any(m.loc[user, i] > 0 for i in items[user])
 
 
+def test_users_with_zero_weights_among_many_targets(spark):
+    rows = [(f"u{i:04d}", f"i{i % 7}", float(i % 5)) for i in range(1200)] + [("zero", "i1", 0.0), ("alone", "own", 1.0)]
+    rows += [(f"u{i:04d}", "i0", -1.0) for i in range(0, 40)]
+    df = spark.createDataFrame(rows, "u string, i string, q double")
+    weights = n.save(n.user_item_weights(df, "u", "i", "q"))
+    near = n.similar_users(weights).collect()
+    m = df.toPandas().pivot_table(index="u", columns="i", values="q", aggfunc="sum", fill_value=0)
+    assert len(near) == 5 * len(m)
+    lists = {}
+    for r in sorted(near, key=lambda r: r["place"]):
+        lists.setdefault(r["user"], []).append(r["neighbour"])
+    for user in ("zero", "alone", "u0000", "u0035", "u0007"):
+        similarity = cosine(m, user).drop(user).round(12)
+        assert lists[user] == sorted(similarity.index, key=lambda u: (-similarity[u], u))[:5]
+
+
 def test_users_without_news_get_best_sellers(spark):
     rows = [(u, i, 1.0) for u in ("a", "b", "c") for i in ("x", "y")] + [("a", "z", 9.0)]
     served = n.recommend_to_users(spark.createDataFrame(rows, "u string, i string, q double"), "u", "i", "q", top_n=2)

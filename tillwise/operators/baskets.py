@@ -14,7 +14,6 @@ from tillwise.plans.ordering import shuffle_width
 from tillwise.plans.scratch import save
 
 # fixed values
-ITEM_LIMIT = 500
 MIN_SUPPORT = 0.01
 MIN_LIFT = 1.0
 
@@ -47,12 +46,13 @@ def build_baskets(
     item_col: str,
     qty_col: str | None = None,
     min_support: float = MIN_SUPPORT,
-    item_limit: int = ITEM_LIMIT,
+    item_limit: int | None = None,
 ) -> Baskets:
     """One array of item codes per basket that keeps any frequent item.
 
     Pairs are made distinct first, spread by (invoice, item), so neither a huge invoice nor a
-    hot item meets in one task; per invoice at most ``item_limit`` codes are gathered then.
+    hot item meets in one task; only frequent items are gathered per invoice then, at most ``item_limit`` of them if given.
+    Minimum support bounds their number by the average basket's size over ``min_support``.
     A quantity that is missing does not put its item into the basket.
     """
     lines = df.select(
@@ -63,12 +63,9 @@ def build_baskets(
     pairs = save(lines.groupBy("invoice", "item").agg(F.bool_or("bought").alias("bought")))
     total = pairs.select("invoice").distinct().count()
     least = _least_count(total, min_support) if total else 1
-    # the limit of the feature: items in the most baskets, at most item_limit of them
-    kept = (
-        pairs.where("bought").groupBy("item").agg(F.count(F.lit(1)).alias("baskets"))
-        .orderBy(F.desc("baskets"), "item").limit(item_limit).collect()
-    )
-    names = [r["item"] for r in kept if r["baskets"] >= least]
+    kept = pairs.where("bought").groupBy("item").agg(F.count(F.lit(1)).alias("baskets")).where(F.col("baskets") >= least)
+    kept = kept.orderBy(F.desc("baskets"), "item")
+    names = [r["item"] for r in (kept.limit(item_limit) if item_limit else kept).collect()]
     codes = df.sparkSession.createDataFrame(list(enumerate(names)), "code int, item string")
     rows = (
         pairs.where("bought").join(F.broadcast(codes), "item")
@@ -91,7 +88,7 @@ def _mine(baskets: Baskets) -> DataFrame:
     filled = rows.count()
     # the miner rounds its threshold up from a share of the rows it sees
     share = (baskets.least - 0.5) / filled
-    # at most 500 items to divide the work by, so more tasks than cores gain nothing
+    # few items to divide the work by, so more tasks than cores gain nothing
     parts = min(shuffle_width(rows), rows.sparkSession.sparkContext.defaultParallelism)
     miner = FPGrowth(itemsCol="items", minSupport=min(1.0, share), numPartitions=parts)
     found = miner.fit(rows).freqItemsets

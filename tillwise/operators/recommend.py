@@ -37,9 +37,10 @@ def recommend(
     invoice_col: str | None = None,
     qty_col: str | None = None,
     top_n: int = 5,
+    targets: DataFrame | None = None,
 ) -> Recommendations:
     """Baskets when an invoice column yields a frequent itemset, else similar customers when
-    there is a customer column, else best sellers. Failures are raised, not skipped."""
+    there is a customer column (for the customers in ``targets``, by default all), else best sellers. Failures are raised, not skipped."""
     if not item_col or item_col not in df.columns:
         raise ValueError("a valid product/item column is required")
     popular = popular_items(df, item_col, qty_col, top_n)
@@ -50,6 +51,6 @@ def recommend(
             rules = market.top_rules(market.association_rules(found), top_n)
             return Recommendations("apriori", popular, association_rules=rules)
     if user_col and user_col in df.columns:
-        served = recommend_to_users(df, user_col, item_col, qty_col, top_n=top_n)
+        served = recommend_to_users(df, user_col, item_col, qty_col, targets, top_n)
         return Recommendations("collaborative", popular, user_recommendations=served)
     return Recommendations("popularity", popular)
