@@ -11,6 +11,7 @@ from queries import customers, reviews, table
 from tillwise.operators import cleaning as c
 from tillwise.operators import segments as sg
 from tillwise.operators.history import EditHistory
+from tillwise.operators.sentiment import scored_table
 from tillwise.plans.scratch import shared_folder
 from tillwise.sources.runlog import RunLog
 from tillwise.sources.tables import read_csv, save_csv, write_csv
@@ -39,9 +40,7 @@ def _csv_types(spark, folder):
 
 
 def _scored_export(spark, folder):
-    documents = reviews._documents(spark, folder)
-    scores = reviews._document_scores(spark, folder).select("doc_id", "sentiment", "compound_score")
-    path = write_csv(documents.join(scores, "doc_id"), _path(spark))
+    path = write_csv(scored_table(reviews._documents(spark, folder), "text", *reviews.words(spark)), _path(spark))
     back = read_csv(spark, path)
     return back.select("doc_id", F.md5("text").alias("digest"), "source", "sentiment", "compound_score")
 
@@ -67,23 +66,28 @@ def _restored(spark, folder):
     )
     summary = sg.segment_summary(sg.rfm_segments(*customers._orders(spark, folder), find_whales=False))
     log.record("orders", "segmentation", old, dt.datetime(2024, 1, 1, 10, 0))
-    log.record("orders", "segmentation", summary, dt.datetime(2024, 1, 1, 11, 0))
+    ordered = summary.orderBy(F.desc("customers"), "Segment")
+    log.record("orders", "segmentation", ordered, dt.datetime(2024, 1, 1, 11, 0))
     return log.restore("orders", "segmentation", summary.schema)
 
 
 def _edits(spark, folder):
-    """Fill, encode, undo the encoding, derive, save to CSV and go on from there."""
+    """Fill, encode, undo the encoding, derive, save to CSV and go on from there with the same types."""
     history = EditHistory(
         table(spark, folder, "orders").select(
-            "o_orderkey", F.expr("nullif(o_orderpriority, '5-LOW')").alias("priority"), "o_totalprice"
+            "o_orderkey", F.expr("nullif(o_orderpriority, '5-LOW')").alias("priority"), "o_totalprice",
+            F.col("o_orderdate").cast("timestamp").alias("placed"), F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("code"),
+            F.when(F.col("o_orderstatus") == "F", "NA").otherwise(F.col("o_orderstatus")).alias("status"),
         )
     )
+    history.apply(c.change_type, "status", "category")
     history.apply(c.fill_missing, "mode", ["priority"])
     history.apply(c.label_encode, "priority")
     history.undo()
     history.apply(c.derive, "tax", "o_totalprice * 0.25")
     history.save(_path(spark))
-    return history.apply(c.replace_value, "priority", "1-URGENT", "urgent")
+    done = history.apply(c.replace_value, "priority", "1-URGENT", "urgent")
+    return done.withColumn("status_is_category", F.lit(done.schema["status"].metadata.get("category", False)))
 
 
 PLAIN_SEGMENTS = f"{customers.PLAIN} {customers._segments_sql('o_custkey', 'calm')}"
@@ -113,13 +117,16 @@ QUERIES = {
     "restored_result": (
         _restored,
         f"WITH {customers.ORDERS}, {PLAIN_SEGMENTS} SELECT \"Segment\", count(*) AS customers, "
-        'round(sum("Monetary"), 2) AS revenue FROM segments GROUP BY "Segment"',
+        'round(sum("Monetary"), 2) AS revenue, row_number() OVER (ORDER BY count(*) DESC, "Segment") AS position '
+        'FROM segments GROUP BY "Segment"',
     ),
     "edit_history": (
         _edits,
         "WITH t AS (SELECT *, nullif(o_orderpriority, '5-LOW') AS p FROM orders), m AS (SELECT p FROM t WHERE p IS NOT NULL "
         "GROUP BY p ORDER BY count(*) DESC, p LIMIT 1), f AS (SELECT o_orderkey, coalesce(p, (SELECT p FROM m)) AS priority, "
-        "o_totalprice FROM t) SELECT o_orderkey, CASE WHEN priority = '1-URGENT' THEN 'urgent' ELSE priority END AS priority, "
-        "o_totalprice, o_totalprice * 0.25 AS tax FROM f",
+        "o_totalprice, o_orderdate::TIMESTAMP AS placed, lpad(o_custkey::VARCHAR, 8, '0') AS code, "
+        "CASE WHEN o_orderstatus = 'F' THEN 'NA' ELSE o_orderstatus END AS status FROM t) "
+        "SELECT o_orderkey, CASE WHEN priority = '1-URGENT' THEN 'urgent' ELSE priority END AS priority, "
+        "o_totalprice, o_totalprice * 0.25 AS tax, placed, code, status, true AS status_is_category FROM f",
     ),
 }

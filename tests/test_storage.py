@@ -84,6 +84,44 @@ def test_run_log(spark, tmp_path):
     assert log.restore("b", "reviews", schema).count() == 0
     log.delete("a", at(6))
     assert [r["dataset_id"] for r in log.datasets().collect()] == ["b"]
+    log.upload("a", "a2.csv", df, at(7))
+    assert [r["display_name"] for r in log.datasets().collect()] == ["a2.csv", "b.csv"]
+    assert log.restore("a", "reviews", schema).count() == 0
+
+
+def test_restored_rows_keep_their_order(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path / "log"))
+    df = spark.range(500).repartition(4).orderBy(F.desc("id"))
+    log.record("a", "reviews", df)
+    back = log.restore("a", "reviews", df.schema)
+    assert values(back, "position", "id") == [(i + 1, 499 - i) for i in range(500)]
+    log.record("a", "reviews", df.limit(0))
+    assert log.restore("a", "reviews", df.schema).count() == 0
+
+
+def test_surplus_fields_are_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="more fields"):
+        read_csv(spark, write(tmp_path / "s.csv", b"a,b\n1,2\n3,4,5\n"))
+    short = read_csv(spark, write(tmp_path / "m.csv", b"a,b\n1,2\n3\n"))
+    assert values(short, "a", "b") == [(1, 2), (3, None)]
+
+
+def test_files_of_one_table_are_read_each_in_its_way(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    write(folder / "1.csv", b"a,b\ncaf\xe9,1\n")
+    write(folder / "2.csv", 'a,b\n"two\nlines",2\n€,3\n'.encode())
+    assert values(read_csv(spark, str(folder)), "b", "a") == [(1, "café"), (2, "two\nlines"), (3, "€")]
+
+
+def test_saving_keeps_types(spark, tmp_path):
+    rows = [(1, "007", dt.datetime(2024, 1, 2, 3, 4), "NA"), (2, "010", None, "x")]
+    edits = h.EditHistory(spark.createDataFrame(rows, "id long, code string, at timestamp, note string"))
+    edits.apply(c.change_type, "code", "category")
+    edits.save(str(tmp_path / "out"))
+    assert values(edits.current, "id", "code", "at", "note")[0] == rows[0]
+    assert edits.current.schema["code"].metadata == {"category": True}
+    assert read_csv(spark, str(tmp_path / "out")).count() == 2
 
 
 def test_undo_is_the_inverse_of_apply(spark, tmp_path, monkeypatch):

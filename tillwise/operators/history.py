@@ -7,15 +7,18 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from tillwise.functions.text import col
 from tillwise.plans import scratch
-from tillwise.sources.tables import save_csv
+from tillwise.sources.tables import write_csv
 
 LINEAGE_LIMIT = 20
 
 
 @dataclass
 class EditHistory:
-    """``apply`` adds a version, ``undo`` drops the last, ``save`` keeps only the newest.
+    """``apply`` adds a version, ``undo`` drops the last, ``save`` exports the newest as CSV and keeps only it.
+
+    Saving changes no value: the version that is kept is a typed table, the CSV is for others.
 
     Every LINEAGE_LIMIT edits the version is written to the shared folder, so plans stay short
     and lost executors do not replay the whole history.
@@ -51,6 +54,9 @@ class EditHistory:
         return self.current
 
     def save(self, path: str) -> DataFrame:
-        self.versions = [save_csv(self.current, path)]
+        kept = scratch.save(self.current)
+        write_csv(kept, path)
+        # column metadata (such as a category mark) is not a part of the file
+        self.versions = [kept.select(*[col(f.name).alias(f.name, metadata=f.metadata) for f in self.current.schema])]
         self.since_cut = 0
         return self.current

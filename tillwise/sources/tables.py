@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillwise.functions.text import col, to_number
+from tillwise.plans.scratch import save
 
 # fixed values: texts that mean "missing"
 NA_TOKENS = [
@@ -19,27 +24,40 @@ FALLBACK_ENCODING = "ISO-8859-1"
 MOMENT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def _line_facts(spark: SparkSession, path: str) -> tuple[bool, bool]:
-    """(all bytes are UTF-8, some quoted field spans lines)."""
-    lines = spark.read.text(path)
+# holds what a line has beyond the header's fields
+SURPLUS = "_surplus"
+
+
+def _file_kinds(spark: SparkSession, path: str) -> dict[tuple[bool, bool], list[str]]:
+    """Files by (all bytes are UTF-8, some quoted field spans lines); one short row per file reaches the driver."""
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
     odd_quotes = F.pmod(F.regexp_count("value", F.lit('"')), F.lit(2)) == 1
-    row = lines.agg(F.bool_and(F.is_valid_utf8("value")), F.bool_or(odd_quotes)).first()
-    return row[0] is not False, bool(row[1])
+    facts = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(odd_quotes).alias("spans"))
+    kinds: dict[tuple[bool, bool], list[str]] = {}
+    for row in facts.orderBy("file").collect():
+        kinds.setdefault((row["utf8"] is not False, bool(row["spans"])), []).append(unquote(row["file"]))
+    return kinds
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """Every field as text. One pass over the lines settles the encoding (UTF-8, else Latin-1)
-    and whether records may span lines; only then are files read whole instead of split."""
-    utf8, spanning = _line_facts(spark, path)
-    return spark.read.csv(
-        path,
-        header=True,
-        quote='"',
-        escape='"',
-        multiLine=spanning,
-        encoding="UTF-8" if utf8 else FALLBACK_ENCODING,
-        mode="PERMISSIVE",
-    )
+    """Every field as text. One pass over the lines settles, per file, the encoding (UTF-8, else Latin-1) and whether
+    records may span lines; only such files are read whole instead of split. A line with more fields than the header
+    is an error, as its surplus would be lost; one with fewer has missing values at its end."""
+    kinds = _file_kinds(spark, path) or {(True, False): [path]}
+
+    def read(utf8: bool, spans: bool, files: list[str]) -> DataFrame:
+        encoding = "UTF-8" if utf8 else FALLBACK_ENCODING
+        source = spark.read.options(header=True, quote='"', escape='"', multiLine=spans, encoding=encoding, mode="PERMISSIVE")
+        files = [path] if len(kinds) == 1 else files
+        fields = T.StructType([T.StructField(c, T.StringType()) for c in source.csv(files).columns])
+        return source.schema(fields.add(SURPLUS, T.StringType())).csv(files)
+
+    parts = [read(*kind, files) for kind, files in kinds.items()]
+    table = reduce(DataFrame.unionByName, parts)
+    extra = table.where(col(SURPLUS).isNotNull()).limit(1).collect()
+    if extra:
+        raise ValueError(f"{path}: a line has more fields than the {len(table.columns) - 1} of the header: {extra[0][:-1]!r}")
+    return table.drop(SURPLUS)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -80,8 +98,9 @@ def read_csv(spark: SparkSession, path: str, row_id: str | None = None) -> DataF
     typed = infer_types(read_csv_text(spark, path))
     if row_id:
         # straight above the file scan, so it depends on the files alone
-        return typed.withColumn(row_id, F.monotonically_increasing_id())
-    return typed
+        typed = typed.withColumn(row_id, F.monotonically_increasing_id())
+    # parsed for good; every later action reads the typed table
+    return save(typed)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
