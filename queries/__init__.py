@@ -21,12 +21,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The test tables are one file with one row group, which one task would read and process."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def all_queries() -> dict[str, tuple[Query, str | None]]:
     from queries import cleaning, customers, products, profiling, reviews, roles, storage
 

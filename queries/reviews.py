@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries import spread, table
+from queries import table
 from tillwise.functions.lexicon import BOOSTERS_DOWN, BOOSTERS_UP, NEGATIONS, STRONGER, WEAKER
 from tillwise.operators import sentiment as s
 from tillwise.plans.scratch import save
@@ -21,21 +21,29 @@ LEXICON = {
 MORE_BOOSTERS = {"of": 0.293, "in": -0.293}
 MORE_NEGATIONS = ["de", "to"]
 CLASSES = ("positive", "neutral", "negative")
+# one punctuation mark before or after a word without any, spelt out apart from the operator's own pattern
+MARK = r"""(?:!\?!\?|\?!\?!|!!!|\?\?\?|\?!\?|!\?!|!!|\?\?|[!"'\-.,:;?])"""
+PLAIN = r"[^!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]{2,}"
+ONE_MARK = f"^{MARK}({PLAIN})$|^({PLAIN}){MARK}$"
 
 
-def _scores(spark, reviews, text, key, keep=()):
+def words(spark):
+    """(lexicon, boost words, negation words)"""
     boost = {w: STRONGER for w in BOOSTERS_UP} | {w: WEAKER for w in BOOSTERS_DOWN} | MORE_BOOSTERS
-    return s.score_reviews(
-        reviews, text,
+    return (
         spark.createDataFrame(list(LEXICON.items()), "word string, valence double"),
-        key, keep,
         spark.createDataFrame(list(boost.items()), "word string, boost double"),
         spark.createDataFrame([(w,) for w in [*NEGATIONS, *MORE_NEGATIONS]], "word string"),
     )
 
 
+def _scores(spark, reviews, text, key, keep=()):
+    lexicon, boost, negations = words(spark)
+    return s.score_reviews(reviews, text, lexicon, key, keep, boost, negations)
+
+
 def _documents(spark, folder):
-    reviews = spread(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    reviews = table(spark, folder, "documents").select("doc_id", "text", "source")
     return reviews.withColumn("product", s.product_text(reviews, "source"))
 
 
@@ -75,6 +83,22 @@ def _comments(spark, folder):
     return _samples(spark, folder).withColumn("comment", F.md5("comment"))
 
 
+def _comments_by_length(spark, folder):
+    """Samples in the order of another column than the key."""
+    docs = table(spark, folder, "documents")
+    scores = save(_scores(spark, docs.withColumn("product", F.col("source")), "text", ["doc_id"], ["product", "n_chars"]))
+    products = s.sentiment_by_product(scores, "product")
+    samples = s.comment_samples(docs, "text", scores, products, "product", ["doc_id"], ["n_chars", "doc_id"])
+    return samples.select("prod_id", "sentiment", "place", F.md5("comment").alias("comment"))
+
+
+def _repeated(spark, folder):
+    """Scores where keys repeat or are missing: every row is counted."""
+    docs = table(spark, folder, "documents").withColumn("doc_id", F.expr("CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 END"))
+    scores = _scores(spark, docs, "text", ["doc_id"])
+    return scores.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "sentiment").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _comments_map(spark, folder):
     lists = s.comments_map(_samples(spark, folder))
     joined = [F.md5(F.array_join(c, "|")).alias(f"{c}_digest") for c in CLASSES]
@@ -107,7 +131,7 @@ def _capital_sql(token):
 
 
 def _scores_sql(source, key, keep, text):
-    mark = s.ONE_MARK.replace("'", "''")
+    mark = ONE_MARK.replace("'", "''")
     steps = []
     previous = "hits"
     for i, decay in s.DECAY.items():
@@ -197,6 +221,8 @@ SAMPLES = f"""{_products_sql(DOCUMENTS, 'source')},
     samples AS (SELECT prod_id, product_name, sentiment, place, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS comment
                 FROM chosen WHERE place <= 30 AND regexp_replace(body, '^\\s+|\\s+$', '', 'g') <> '')"""
 
+SAMPLES_BY_LENGTH = SAMPLES.replace("ORDER BY doc_id)::INT", "ORDER BY length(body), doc_id)::INT")
+
 QUERIES = {
     "sentiment_scores": (
         _document_scores,
@@ -214,6 +240,10 @@ QUERIES = {
         _comments,
         f"WITH {SAMPLES} SELECT prod_id, product_name, sentiment, place, md5(comment) AS comment FROM samples",
     ),
+    "comment_samples_by_length": (
+        _comments_by_length,
+        f"WITH {SAMPLES_BY_LENGTH} SELECT prod_id, sentiment, place, md5(comment) AS comment FROM samples",
+    ),
     "comments_map": (
         _comments_map,
         f"WITH {SAMPLES} SELECT prod_id, product_name, "
@@ -230,6 +260,11 @@ QUERIES = {
         f"WITH {SAMPLES} SELECT prod_id, product_name, sentiment, place, md5(comment) AS comment FROM samples "
         "WHERE contains(lower(comment), 'best')",
     ),
+    "sentiment_repeated_keys": (
+        _repeated,
+        f"WITH {DOCUMENTS} SELECT CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 ELSE -1 END AS doc_id, sentiment, count(*) AS n "
+        "FROM classed GROUP BY 1, 2",
+    ),
     "documents_containing": (
         _containing_all,
         "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'free')",

@@ -100,11 +100,22 @@ def test_report_without_products_and_empty(spark, reviews, lexicon):
 
 
 def test_scored_table_keeps_all_columns(reviews, lexicon):
-    scored = s.scored_table(reviews, "body", lexicon, ["id"])
+    scored = s.scored_table(reviews, "body", lexicon)
     assert scored.columns == ["id", "product", "body", "sentiment", "compound_score"]
     assert scored.count() == reviews.count()
 
 
+def test_repeated_and_missing_keys_keep_their_rows(spark, lexicon):
+    rows = [(1, "good", "x", 5), (1, "bad", "x", 4), (1, "good", "x", 5), (None, "good", "x", 1)]
+    df = spark.createDataFrame(rows, "id int, body string, product string, day int")
+    assert s.score_reviews(df, "body", lexicon, ["id"]).count() == 4
+    assert s.scored_table(df, "body", lexicon).where("id IS NULL AND sentiment = 'Positive'").count() == 1
+    report = s.review_report(df, "body", lexicon, ["id"], "product", ["day"])
+    assert report.totals.first()["total"] == 4
+    found = report.comments.where("sentiment = 'Positive'").orderBy("place").collect()
+    assert [r["comment"] for r in found] == ["good"] * 3
+
+
 def tables(spark):
     prose = "it works well and looks very nice indeed"
     return {

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.functions.lexicon import BOOSTERS_DOWN, WEAKER, words_table
 from tillwise.functions.text import col, known, strip
-from tillwise.plans.lookups import SMALL_ROWS
+from tillwise.plans.lookups import is_small
 from tillwise.plans.scratch import save
 
 # fixed values: published scoring rules (Hutto & Gilbert 2014)
@@ -33,6 +34,8 @@ TOP_PRODUCTS = 15
 SAMPLE_COMMENTS = 30
 NO_PRODUCT = "Unknown Product"
 
+TEXT_HASH = "_text_hash"
+
 TWO_WORD_WEAKER = [w for w in BOOSTERS_DOWN if " " in w]
 
 MARK = r"""(?:!\?!\?|\?!\?!|!!!|\?\?\?|\?!\?|!\?!|!!|\?\?|[.!?,;:\-'"])"""
@@ -63,30 +66,35 @@ def _emphasis(text: Column) -> Column:
     return marks + F.when(asked < 2, 0.0).when(asked <= 3, asked * QUESTION).otherwise(MANY_QUESTIONS)
 
 
-def _token_rows(reviews: DataFrame, names: Sequence[str], text: Column) -> DataFrame:
-    """One row per token with its predecessors, and one closing row (no token) per review."""
+def _token_rows(reviews: DataFrame, text: Column) -> DataFrame:
+    """One row per token of ``reviews`` (_rid, _row) with its predecessors, and one closing row per review.
+
+    Only the closing row, which has no token, holds _row, so nothing of a review is repeated per token.
+    """
     blank = F.lit("")
-    split = reviews.select(*[col(n) for n in names], text.alias("_text"), tokens(text).alias("_tk"))
+    split = reviews.select("_rid", "_row", text.alias("_text"), tokens(text).alias("_tk"))
     marked = split.select(
-        *[col(n) for n in names],
+        "_rid", "_row",
         F.coalesce(_emphasis(F.col("_text")), F.lit(0.0)).alias("_emphasis"),
         F.coalesce(F.size("_tk"), F.lit(0)).alias("_n"),
         F.coalesce(F.array_position(F.transform("_tk", F.lower), "but"), F.lit(0)).alias("_but"),
         (F.exists("_tk", _capital) & F.exists("_tk", lambda t: ~_capital(t))).alias("_mixed"),
         F.coalesce("_tk", F.array().cast("array<string>")).alias("_tk"),
     )
+    nothing = F.lit(None).cast(reviews.schema["_row"].dataType)
     shifted = F.arrays_zip(
         F.col("_tk").alias("t0"),
         F.concat(F.array(blank), "_tk").alias("t1"),
         F.concat(F.array(blank, blank), "_tk").alias("t2"),
         F.concat(F.array(blank, blank, blank), "_tk").alias("t3"),
         F.slice("_tk", 2, F.greatest("_n", F.lit(1))).alias("next"),
+        F.concat(F.array_repeat(nothing, F.col("_n")), F.array("_row")).alias("row"),
     )
-    kept = [*[col(n) for n in names], "_emphasis", "_n", "_but", "_mixed"]
+    kept = ["_rid", "_emphasis", "_n", "_but", "_mixed"]
     return (
         marked.select(*kept, F.posexplode(shifted).alias("_pos", "_t"))
         .where(F.col("_pos") <= F.col("_n"))
-        .select(*kept, "_pos", "_t.t0", "_t.t1", "_t.t2", "_t.t3", "_t.next")
+        .select(*kept, "_pos", "_t.t0", "_t.t1", "_t.t2", "_t.t3", "_t.next", F.col("_t.row").alias("_row"))
     )
 
 
@@ -127,12 +135,12 @@ def score_reviews(
 ) -> DataFrame:
     """(key, keep, compound_score, sentiment), one row per review.
 
-    ``key`` must identify a row; ``lexicon`` has columns (word, valence), ``boost_words``
-    (word, boost) and ``negation_words`` (word), the last two with published defaults.
+    Rows are told apart by a number of their own, so keys may repeat or be missing. ``lexicon`` has columns (word,
+    valence), ``boost_words`` (word, boost) and ``negation_words`` (word), the last two with published defaults.
     """
-    names = [*key, *keep]
+    names = list(dict.fromkeys([*key, *keep]))
     words = save(words_table(lexicon, boost_words, negation_words))
-    small = words.count() <= SMALL_ROWS
+    small = is_small(words)
 
     def lookup(place: int) -> DataFrame:
         renamed = words.select(
@@ -143,7 +151,11 @@ def score_reviews(
         )
         return F.broadcast(renamed) if small else renamed
 
-    rows = _token_rows(df, names, col(text_col).cast("string"))
+    numbered = df.select(
+        F.monotonically_increasing_id().alias("_rid"), F.struct(*[col(n) for n in names]).alias("_row"),
+        col(text_col).cast("string").alias("_body"),
+    )
+    rows = _token_rows(numbered, F.col("_body"))
     rows = rows.join(lookup(0), F.lower("t0") == F.col("word0"), "left")
     # a booster never has polarity of its own, nor has "kind" in "kind of"
     kind_of = (F.lower("t0") == "kind") & (F.lower(F.coalesce("next", F.lit(""))) == "of")
@@ -169,11 +181,12 @@ def score_reviews(
 
     # rounding far below the reported digits makes the sum independent of its order
     total = F.round(F.coalesce(F.sum("v"), F.lit(0.0)), 9)
-    summed = rows.groupBy(*[col(n) for n in names]).agg(total.alias("_sum"), F.max("_emphasis").alias("_emphasis"))
+    whole = F.first("_row", ignorenulls=True).alias("_row")
+    summed = rows.groupBy("_rid").agg(total.alias("_sum"), F.max("_emphasis").alias("_emphasis"), whole)
     amplified = F.col("_sum") + F.signum("_sum") * F.col("_emphasis")
     scored = summed.withColumn("_sum", amplified)
     compound = F.round(F.col("_sum") / F.sqrt(F.col("_sum") * F.col("_sum") + NORMALISER), 4)
-    scored = scored.select(*[col(n) for n in names], compound.alias("compound_score"))
+    scored = scored.select(*[F.col("_row")[n].alias(n) for n in names], compound.alias("compound_score"))
     return scored.withColumn("sentiment", sentiment_class(F.col("compound_score")))
 
 
@@ -189,10 +202,13 @@ def display_text(text_col: str) -> Column:
     return strip(F.coalesce(col(text_col).cast("string"), F.lit("")))
 
 
-def scored_table(df: DataFrame, text_col: str, lexicon: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The whole table with sentiment and compound_score, as for an export."""
-    scores = score_reviews(df, text_col, lexicon, key).select(*key, "sentiment", "compound_score")
-    return df.join(scores, list(key))
+def scored_table(
+    df: DataFrame, text_col: str, lexicon: DataFrame,
+    boost_words: DataFrame | None = None, negation_words: DataFrame | None = None,
+) -> DataFrame:
+    """The whole table, every row of it, with sentiment and compound_score, as for an export."""
+    scored = score_reviews(df, text_col, lexicon, df.columns, (), boost_words, negation_words)
+    return scored.select(*[col(c) for c in df.columns], "sentiment", "compound_score")
 
 
 def _tallies() -> list[Column]:
@@ -250,19 +266,25 @@ def comment_samples(
     shuffle); only the chosen rows' texts are looked up in ``df``.
     """
     listed = products.select("prod_id", F.col("product_name").alias(product))
+    known_by = [*key, *[c for c in scores.columns if c == TEXT_HASH]]
     in_order = Window.partitionBy("prod_id", "sentiment").orderBy(*order_by)
     chosen = (
         scores.join(F.broadcast(listed), product)
         .withColumn("place", F.row_number().over(in_order))
         .where(F.col("place") <= per_class)
-        .select("prod_id", F.col(product).alias("product_name"), "sentiment", "place", *key)
+        .select("prod_id", F.col(product).alias("product_name"), "sentiment", "place", *[col(k).alias(f"_k_{k}") for k in known_by])
     )
     texts = df.select(*[col(k) for k in key], display_text(text_col).alias("comment"))
+    same = reduce(Column.__and__, [col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key])
+    if TEXT_HASH in scores.columns:
+        # keys may repeat; a row with the same key and text is the same comment
+        same = same & (F.xxhash64("comment") == F.col(f"_k_{TEXT_HASH}"))
     # at most products x 3 classes x per_class rows
     return (
-        texts.join(F.broadcast(chosen), list(key))
+        texts.join(F.broadcast(chosen), same)
         .where(F.col("comment") != "")
         .select("prod_id", "product_name", "sentiment", "place", "comment")
+        .dropDuplicates(["prod_id", "sentiment", "place"])
     )
 
 
@@ -294,16 +316,19 @@ def review_report(
     lexicon: DataFrame,
     key: Sequence[str],
     product_col: str | None = None,
-    order_by: Sequence[Column | str] | None = None,
+    order_by: Sequence[str] | None = None,
 ) -> ReviewReport:
-    """Totals and, with a product column, the breakdown and comment samples; scored once."""
+    """Totals and, with a product column, the breakdown and comment samples in the order of the columns ``order_by``."""
     if text_col not in df.columns:
         raise ValueError(f"review column {text_col!r} not found")
     if not product_col or product_col not in df.columns:
         scores = save(score_reviews(df, text_col, lexicon, key))
         return ReviewReport(sentiment_totals(scores), None, None)
-    named = df.withColumn("_product", product_text(df, product_col))
-    scores = save(score_reviews(named, text_col, lexicon, key, keep=["_product"]))
+    # what orders the samples travels with the scores
+    order_by = list(order_by or key)
+    extra = {"_product": product_text(df, product_col), TEXT_HASH: F.xxhash64(display_text(text_col))}
+    named = df.withColumns(extra)
+    scores = save(score_reviews(named, text_col, lexicon, key, keep=[*extra, *order_by]))
     products = save(sentiment_by_product(scores, "_product"))
-    samples = comment_samples(df, text_col, scores, products, "_product", key, order_by or list(key))
+    samples = comment_samples(df, text_col, scores, products, "_product", key, [col(c) for c in order_by])
     return ReviewReport(sentiment_totals(scores), products, samples)
