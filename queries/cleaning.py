@@ -7,9 +7,12 @@ balances, and event values under 100.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queries import spread, table
+from queries import table
 from tillwise.operators import cleaning as c
 
 PRIORITY = "nullif(o_orderpriority, '5-LOW')"
@@ -110,6 +113,69 @@ def _replace(spark, folder):
     return lines.groupBy("l_returnflag", "l_quantity").agg(F.count(F.lit(1)).alias("n"))
 
 
+DATES = {
+    "day first": "dd/MM/yyyy", "month name": "MMM d, yyyy", "day name": "d-MMM-yyyy", "am pm": "M/d/yyyy h:mm a",
+    "compact": "yyyyMMdd", "short year": "MM/dd/yy", "iso": "yyyy-MM-dd'T'HH:mm:ss'Z'", "offset": "yyyy-MM-dd HH:mm:ss'+00:00'",
+}
+
+
+def _date_families(spark, folder):
+    """The order dates written in eight ways and read back."""
+    orders = table(spark, folder, "orders")
+    parts = []
+    for name, pattern in DATES.items():
+        text = orders.select("o_orderkey", F.date_format("o_orderdate", pattern).alias("placed"))
+        read = c.change_type(text, "placed", "datetime64[ns]")
+        parts.append(read.groupBy(F.lit(name).alias("family")).agg(
+            F.count("placed").alias("n"), F.sum(F.unix_date(F.col("placed").cast("date")).cast("long")).alias("days")
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _texts_of_numbers(spark, folder):
+    """Large and small doubles and truths as texts."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", (F.col("o_totalprice") * 1000).alias("large"), (F.col("o_totalprice") / 1e10).alias("small"),
+        (F.col("o_totalprice") > 1e5).alias("truth"),
+    )
+    for name in ("large", "small", "truth"):
+        orders = c.change_type(orders, name, "object")
+    return c.find_and_replace(orders, "truth", "True", "yes")
+
+
+def _to_category(spark, folder):
+    typed = c.change_type(table(spark, folder, "part").select("p_partkey", "p_size"), "p_size", "category")
+    return typed.withColumn("marked", F.lit(typed.schema["p_size"].metadata.get("category", False)))
+
+
+def _one_hot_sparse(spark, folder):
+    return c.one_hot(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_name", "sparse")
+
+
+def _iqr_documents(spark, folder):
+    return c.trim_outliers(table(spark, folder, "documents").select("doc_id", "n_chars"), "n_chars")
+
+
+def _whole_table_numbers(strategy):
+    def run(spark, folder):
+        orders = table(spark, folder, "orders").select(
+            "o_orderkey", F.expr("CASE WHEN o_totalprice < 300000 THEN o_totalprice END").alias("price"),
+            F.expr("CASE WHEN o_custkey % 3 > 0 THEN o_custkey / 4 END").alias("share"), F.expr(PRIORITY).alias("priority"),
+        )
+        return _rounded(c.fill_missing(orders, strategy), "price", "share")
+
+    return run
+
+
+def _whole_table_sql(measure):
+    return (
+        f"WITH t AS (SELECT o_orderkey, CASE WHEN o_totalprice < 300000 THEN o_totalprice END AS price, "
+        f"CASE WHEN o_custkey % 3 > 0 THEN o_custkey / 4 END AS share, {PRIORITY} AS priority FROM orders) "
+        f"SELECT o_orderkey, round(coalesce(price, (SELECT {measure}(price) FROM t)), 6) AS price, "
+        f"round(coalesce(share, (SELECT {measure}(share) FROM t)), 6) AS share, priority FROM t"
+    )
+
+
 def _find_replace(spark, folder):
     parts = table(spark, folder, "part").select("p_partkey", "p_size")
     return c.find_and_replace(parts, "p_size", "10", "ten")
@@ -140,7 +206,7 @@ def _standard(spark, folder):
 
 
 def _clean_text(spark, folder):
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    documents = table(spark, folder, "documents").select("doc_id", "text")
     return c.clean_text(documents, "text").select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("chars"))
 
 
@@ -259,6 +325,29 @@ QUERIES = {
         "WITH s AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS d FROM customer) "
         "SELECT c_custkey, round((c_acctbal - m) / d, 6) AS c_acctbal FROM customer, s",
     ),
+    "change_type_date_families": (
+        _date_families,
+        "SELECT family, count(*) AS n, sum(date_diff('day', DATE '1970-01-01', o_orderdate::DATE))::BIGINT AS days FROM orders, "
+        f"(SELECT unnest({list(DATES)}) AS family) GROUP BY family",
+    ),
+    "numbers_as_text": (
+        _texts_of_numbers,
+        "SELECT o_orderkey, (o_totalprice * 1000)::VARCHAR AS large, (o_totalprice / 1e10)::VARCHAR AS small, "
+        "CASE WHEN o_totalprice > 1e5 THEN 'yes' ELSE 'False' END AS truth FROM orders",
+    ),
+    "change_type_category": (_to_category, "SELECT p_partkey, p_size::VARCHAR AS p_size, true AS marked FROM part"),
+    "one_hot_sparse": (
+        _one_hot_sparse,
+        "SELECT c_custkey, CASE WHEN c_name > (SELECT min(c_name) FROM customer) THEN 'c_name_' || c_name END AS c_name_set "
+        "FROM customer",
+    ),
+    "trim_outliers_documents": (
+        _iqr_documents,
+        "WITH q AS (SELECT quantile_cont(n_chars, 0.25) AS a, quantile_cont(n_chars, 0.75) AS b FROM documents) "
+        "SELECT doc_id, n_chars FROM documents, q WHERE n_chars BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)",
+    ),
+    "fill_mean_whole_table": (_whole_table_numbers("mean"), _whole_table_sql("avg")),
+    "fill_median_whole_table": (_whole_table_numbers("median"), _whole_table_sql("median")),
     "clean_text": (
         _clean_text,
         "WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), "

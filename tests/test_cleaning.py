@@ -97,13 +97,46 @@ def test_label_codes_are_dense_and_sorted(gaps):
     assert [r["cat"] for r in codes] == [1, 2, 0, 0, 1, 2]
 
 
-def test_one_hot_drops_first_and_keeps_missing_false(gaps, monkeypatch):
+def test_one_hot_drops_first_and_keeps_missing_false(gaps):
     hot = c.one_hot(gaps, "cat")
     assert hot.columns == ["id", "num", "flag", "cat_b"]
     assert [r["cat_b"] for r in hot.orderBy("id").collect()] == [True, False, False, False, True, False]
-    monkeypatch.setattr(c, "ONE_HOT_COLUMNS", 1)
-    with pytest.raises(ValueError, match="more than 1"):
-        c.one_hot(gaps, "cat")
+    sparse = c.one_hot(gaps, "cat", "sparse")
+    flags = [x for x in hot.columns if x.startswith("cat_")]
+    named = sorted(next((f for f in flags if r[f]), "") for r in hot.collect())
+    assert sorted(r["cat_set"] or "" for r in sparse.collect()) == named
+    with pytest.raises(ValueError, match="unknown form"):
+        c.one_hot(gaps, "cat", "wide")
+
+
+def test_mode_of_arrays(spark):
+    df = spark.createDataFrame([(1, [1, 2]), (2, [1, 2]), (3, None), (4, [3])], "id int, v array<int>")
+    assert values(c.fill_missing(df, "mode"), "id", "v")[2] == (3, [1, 2])
+
+
+def test_numbers_and_truths_as_text(spark):
+    numbers = [12345678.0, 1e-4, 1.5e-5, 1e16, 123456789012345.67, -0.00025, 1.0, float("inf"), 1e22, 1e-300, 0.0, None]
+    df = spark.createDataFrame(list(enumerate(numbers)), "i int, v double")
+    got = [t for _, t in values(c.change_type(df, "v", "object"), "i", "v")]
+    assert got == [None if v is None else repr(v) for v in numbers]
+    found = c.find_and_replace(df, "v", "12345678.0", "X")
+    assert found.where("v = 'X'").count() == 1
+    truths = spark.createDataFrame([(1, True), (2, False), (3, None)], "i int, v boolean")
+    assert values(c.change_type(truths, "v", "object"), "i", "v") == [(1, "True"), (2, "False"), (3, None)]
+
+
+@pytest.mark.parametrize(
+    "texts",
+    [
+        ["24/02/2003", "01/03/2003"], ["Feb 24, 2003", "Mar 1, 2003"], ["24-Feb-2003", "1-Mar-2003"],
+        ["2/24/2003 1:05 PM", "3/1/2003 2:00 AM"], ["20030224", "20030301"], ["02/24/03", "03/01/03"],
+        ["2003-02-24T10:00:00Z", "2003-03-01T00:00:00Z"], ["2003-02-24 10:00:00+00:00", "2003-03-01 00:00:00+00:00"],
+    ],
+)
+def test_forms_of_dates(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    days = [v.strftime("%Y-%m-%d") for v, in values(c.change_type(df, "v", "datetime64[ns]"), "v")]
+    assert days == ["2003-02-24", "2003-03-01"]
 
 
 def test_iqr_and_scaling(spark):

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tillwise.functions import text
 from tillwise.functions.formula import formula
-from tillwise.functions.text import col, is_float, is_numeric, known
+from tillwise.functions.text import as_text, col, is_float, is_numeric, known
 from tillwise.plans import lookups
 from tillwise.plans.ordering import fill_in_order, with_global_rank
 from tillwise.plans.quantiles import exact_quantiles
@@ -28,7 +28,7 @@ RATING_ALIASES = ["reviews_rating", "rating", "stars", "score"]
 TRUE_WORDS = ["true", "1", "yes"]
 IQR_REACH = 1.5
 
-ONE_HOT_COLUMNS = 1000
+# month first where both orders fit
 DATE_FORMATS = [
     "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
     "yyyy-MM-dd HH:mm:ss",
@@ -41,6 +41,25 @@ DATE_FORMATS = [
     "yyyy/M/d",
     "d-M-yyyy",
     "d.M.yyyy",
+    "d/M/yyyy",
+    "d/M/yyyy H:mm",
+    "d/M/yyyy H:mm:ss",
+    "M/d/yyyy h:mm a",
+    "M/d/yyyy h:mm:ss a",
+    "d/M/yyyy h:mm a",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "d-MMM-yyyy",
+    "d-MMM-yy",
+    "M/d/yy",
+    "d/M/yy",
+    "yyyyMMdd",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm",
 ]
 
 STRATEGIES = ("drop_col", "drop", "mean", "median", "mode", "ffill", "bfill")
@@ -88,20 +107,28 @@ def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _fill_constants(df, {c: exact_quantiles(df, c, [0.5])[0] for c in _means(df, columns)})
 
 
-def most_frequent(df: DataFrame, column: str) -> str | None:
-    """The most frequent present value as text; the smallest of several."""
-    counts = df.select(known(df, column).alias("_v")).where("_v IS NOT NULL").groupBy("_v").count()
-    top = counts.orderBy(F.desc("count"), F.asc("_v")).limit(1)
-    row = top.select(F.col("_v").cast("string").alias("v")).first()
-    return row["v"] if row else None
+def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
+    """The most frequent present value of every column that has any, the smallest of several; one job for all columns."""
+    names = {c: f"_v{i}" for i, c in enumerate(columns)}
+    slots = []
+    for i, c in enumerate(columns):
+        fields = [(known(df, c) if c == d else F.lit(None).cast(df.schema[d].dataType)).alias(names[d]) for d in columns]
+        slots.append(F.struct(F.lit(i).alias("_i"), known(df, c).isNotNull().alias("_present"), *fields))
+    if not slots:
+        return {}
+    stacked = df.select(F.inline(F.array(*slots))).where("_present")
+    counts = stacked.groupBy("_i", *names.values()).agg(F.count(F.lit(1)).alias("_n"))
+    best = [
+        F.min(F.when(F.col("_i") == i, F.struct((-F.col("_n")).alias("n"), F.col(v).alias("v")))).alias(v)
+        for i, v in enumerate(names.values())
+    ]
+    row = counts.agg(*best).first()
+    return {c: row[v]["v"] for c, v in names.items() if row[v]}
 
 
 def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    filled = {}
-    for c in columns:
-        value = most_frequent(df, c)
-        if value is not None:
-            filled[c] = F.coalesce(known(df, c), F.lit(value).cast(df.schema[c].dataType))
+    modes = most_frequent(df, list(columns))
+    filled = {c: F.coalesce(known(df, c), F.lit(v).cast(df.schema[c].dataType)) for c, v in modes.items()}
     return _replace_columns(df, filled)
 
 
@@ -179,11 +206,15 @@ def change_type(df: DataFrame, column: str, target: str) -> DataFrame:
             return df
         if not is_text:
             raise ValueError(f"cannot convert column {column!r} to {target}")
-        parsed = F.try_to_timestamp(value, F.lit(_date_format(df, column)))
+        pattern = _date_format(df, column)
+        parsed = F.try_to_timestamp(value, F.lit(pattern))
+        if "yy" in pattern.replace("yyyy", ""):
+            # two-digit years from 69 on belong to the last century
+            parsed = F.when(F.year(parsed) >= 2069, parsed - F.expr("INTERVAL 100 YEARS")).otherwise(parsed)
         return _replace_columns(df, {column: parsed})
     if target in ("object", "category"):
         meta = {"category": True} if target == "category" else {}
-        new = value.cast("string").alias(column, metadata=meta)
+        new = as_text(df, column).alias(column, metadata=meta)
         return df.select(*[new if c == column else col(c) for c in df.columns])
 
     if target == "int64":
@@ -228,8 +259,8 @@ def replace_value(df: DataFrame, column: str, find: object, replacement: object
 
 def find_and_replace(df: DataFrame, column: str, find: str, replacement: str) -> DataFrame:
     """Replace whole values after turning the column into text."""
-    as_text = known(df, column).cast("string")
-    return _replace_columns(df, {column: F.when(as_text == F.lit(find), F.lit(replacement)).otherwise(as_text)})
+    value = as_text(df, column)
+    return _replace_columns(df, {column: F.when(value == F.lit(find), F.lit(replacement)).otherwise(value)})
 
 
 # --- encoding ---
@@ -238,9 +269,9 @@ def find_and_replace(df: DataFrame, column: str, find: str, replacement: str) ->
 def label_encode(df: DataFrame, column: str) -> DataFrame:
     """Code = place of the value among the sorted distinct texts, from 0; missing is "nan"."""
     order = df.columns
-    named = _replace_columns(df, {column: F.coalesce(known(df, column).cast("string"), F.lit("nan"))})
+    named = _replace_columns(df, {column: F.coalesce(as_text(df, column), F.lit("nan"))})
     values = save(named.groupBy(col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_rows")))
-    if values.count() <= lookups.SMALL_ROWS:
+    if lookups.is_small(values):
         codes = values.withColumn("_code", F.row_number().over(Window.orderBy("_value")).cast("long"))
     else:
         codes = with_global_rank(values, ["_value"], "_code")
@@ -249,20 +280,22 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
     return joined.select(*[F.col("_code").alias(column) if c == column else col(c) for c in order])
 
 
-def one_hot(df: DataFrame, column: str) -> DataFrame:
-    """One boolean column per sorted distinct value but the first; missing is false everywhere.
+def one_hot(df: DataFrame, column: str, form: str = "columns") -> DataFrame:
+    """The value as flags, one for each sorted distinct value but the first; missing sets none.
 
-    A result needs one column per value, so over 1,000 values is refused; use label_encode.
+    ``columns`` makes a boolean column per value, so the plan grows with the number of values. ``sparse`` holds the
+    same flags for any number of values: one column ``<column>_set`` names the flag that is set, NULL where none is.
     """
-    values = df.select(known(df, column).alias("_v")).where("_v IS NOT NULL").distinct()
-    listed = values.orderBy("_v").limit(ONE_HOT_COLUMNS + 1).select(F.col("_v").cast("string").alias("v")).collect()
-    if len(listed) > ONE_HOT_COLUMNS:
-        raise ValueError(f"column {column!r} has more than {ONE_HOT_COLUMNS} values")
-    data_type = df.schema[column].dataType
-    flags = [
-        F.coalesce(known(df, column) == F.lit(r["v"]).cast(data_type), F.lit(False)).alias(f"{column}_{r['v']}")
-        for r in listed[1:]
-    ]
+    value = known(df, column)
+    if form == "sparse":
+        first = df.agg(F.min(value).alias("v")).first()["v"]
+        flag = F.when(value != F.lit(first), F.concat(F.lit(f"{column}_"), as_text(df, column)))
+        return df.select(*[col(c) for c in df.columns if c != column], flag.alias(f"{column}_set"))
+    if form != "columns":
+        raise ValueError(f"unknown form {form!r}, expected columns or sparse")
+    values = df.select(value.alias(column)).where(col(column).isNotNull()).distinct()
+    listed = values.orderBy(col(column)).select(col(column).alias("v"), as_text(values, column).alias("t")).collect()
+    flags = [F.coalesce(value == F.lit(r["v"]), F.lit(False)).alias(f"{column}_{r['t']}") for r in listed[1:]]
     return df.select(*[col(c) for c in df.columns if c != column], *flags)
 
 
