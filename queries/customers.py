@@ -16,6 +16,18 @@ def _events(spark, folder):
     return table(spark, folder, "events"), "user_id", "ts", "value"
 
 
+def _refunds(spark, folder):
+    """Orders of some customers taken back, so that their sum is not positive."""
+    amount = F.expr("CASE WHEN o_custkey % 5 = 0 THEN -o_totalprice ELSE o_totalprice END")
+    return table(spark, folder, "orders").withColumn("amount", amount), "o_custkey", "o_orderdate", "amount"
+
+
+def _text_dates(spark, folder):
+    """Order days written as texts, day first."""
+    orders = table(spark, folder, "orders").withColumn("placed", F.date_format("o_orderdate", "dd/MM/yyyy"))
+    return orders, "o_custkey", "placed", "o_totalprice"
+
+
 def _regions(spark, folder):
     """Five buyers only: orders by region."""
     t = {n: table(spark, folder, n) for n in ("orders", "customer", "nation", "region")}
@@ -105,12 +117,28 @@ REGIONS = (
     "JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),"
     + _rfm_sql("regions", "r_name", "o_orderdate", "o_totalprice")
 )
+REFUNDS = (
+    "refunds AS (SELECT o_custkey, o_orderdate, CASE WHEN o_custkey % 5 = 0 THEN -o_totalprice ELSE o_totalprice END AS amount "
+    "FROM orders)," + _rfm_sql("refunds", "o_custkey", "o_orderdate", "amount")
+)
+TEXT_DATES = (
+    "days AS (SELECT o_custkey, date_trunc('day', o_orderdate)::TIMESTAMP AS placed, o_totalprice FROM orders),"
+    + _rfm_sql("days", "o_custkey", "placed", "o_totalprice")
+)
 MONEY = 'round("Monetary", 2) AS "Monetary"'
 PLAIN = "calm AS (SELECT *, false AS w FROM rfm),"
 
 QUERIES = {
     "rfm_table": (_table(_orders), f'WITH {ORDERS} SELECT o_custkey, "Recency", "Frequency", {MONEY} FROM rfm'),
     "rfm_table_events": (_table(_events), f'WITH {EVENTS} SELECT user_id, "Recency", "Frequency", {MONEY} FROM rfm'),
+    "rfm_table_refunds": (
+        _table(_refunds),
+        f'WITH {REFUNDS} SELECT o_custkey, "Recency", "Frequency", {MONEY} FROM rfm',
+    ),
+    "rfm_table_text_dates": (
+        _table(_text_dates),
+        f'WITH {TEXT_DATES} SELECT o_custkey, "Recency", "Frequency", {MONEY} FROM rfm',
+    ),
     "rfm_segments_without_whales": (
         _segments(_orders, find_whales=False),
         f"WITH {ORDERS}, {PLAIN} {_segments_sql('o_custkey', 'calm')} SELECT * FROM segments",

@@ -8,9 +8,9 @@ from queries import TABLES, table
 from tillwise.operators import roles as r
 
 
-def _catalogue(spark, folder, measure_all=False):
+def _catalogue(spark, folder, **options):
     tables = {name: table(spark, folder, name) for name in TABLES}
-    return r.catalogue(tables, {name: df.columns[:1] for name, df in tables.items()}, measure_all)
+    return r.catalogue(tables, {name: df.columns[:1] for name, df in tables.items()}, **options)
 
 
 def _facts(spark, folder):
@@ -19,9 +19,9 @@ def _facts(spark, folder):
     return _catalogue(spark, folder, measure_all=True).select(*columns, *[F.round(c, 6).alias(c) for c in measures])
 
 
-def _over_catalogue(operator):
+def _over_catalogue(operator, **options):
     def run(spark, folder):
-        found = operator(_catalogue(spark, folder))
+        found = operator(_catalogue(spark, folder, **options))
         if "missing_requirements" in found.columns:
             found = found.withColumn("missing_requirements", F.array_join("missing_requirements", "; "))
         return found
@@ -29,6 +29,15 @@ def _over_catalogue(operator):
     return run
 
 
+def _renamed(spark, folder):
+    """Given tables under names that users write: plain, misspelt and numeric ones."""
+    documents = table(spark, folder, "documents").withColumnsRenamed({"text": "reviewText", "source": "prodct"})
+    labels = table(spark, folder, "labels").withColumnRenamed("quality", "rating")
+    talk = table(spark, folder, "conversations").withColumnRenamed("text", "custmer_reveiw")
+    tables = {"shop": documents.join(labels, "doc_id", "left"), "talk": talk}
+    return r.review_roles(r.catalogue(tables, dates=False))
+
+
 # text columns of the test tables, by table
 TEXTS = {
     "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"],
@@ -124,26 +133,32 @@ QUERIES = {
         )
         + " FROM facts",
     ),
-    "segmentation_roles": (_over_catalogue(r.segmentation_roles), f"WITH {SEGMENTATION} SELECT * FROM roles"),
-    "recommendation_roles": (_over_catalogue(r.recommendation_roles), f"WITH {RECOMMENDATION} SELECT * FROM roles"),
+    "segmentation_roles": (_over_catalogue(r.segmentation_roles, content=False), f"WITH {SEGMENTATION} SELECT * FROM roles"),
+    "recommendation_roles": (_over_catalogue(r.recommendation_roles, content=False, dates=False), f"WITH {RECOMMENDATION} SELECT * FROM roles"),
     "review_roles": (
-        _over_catalogue(r.review_roles),
+        _over_catalogue(r.review_roles, dates=False),
         f"WITH {REVIEW} SELECT dataset, review_col, product_col, rating_col FROM roles",
     ),
+    "review_roles_renamed": (
+        _renamed,
+        "SELECT * FROM (VALUES ('shop', 'reviewText', 'prodct', (SELECT CASE WHEN count(quality) * 2 > count(*) THEN 'rating' END "
+        "FROM documents LEFT JOIN labels USING (doc_id))), ('talk', 'custmer_reveiw', NULL, NULL)) "
+        "AS t(dataset, review_col, product_col, rating_col)",
+    ),
     "segmentation_suitability": (
-        _over_catalogue(r.segmentation_suitability),
+        _over_catalogue(r.segmentation_suitability, content=False),
         f"WITH {SEGMENTATION} SELECT *, concat_ws('; ', CASE WHEN id_col IS NULL THEN '{r.NEEDS_ID}' END, "
         f"CASE WHEN date_col IS NULL THEN '{r.NEEDS_DATE}' END, CASE WHEN amount_col IS NULL THEN '{r.NEEDS_AMOUNT}' END) "
         "AS missing_requirements, id_col IS NOT NULL AND date_col IS NOT NULL AND amount_col IS NOT NULL AS is_suitable "
         "FROM roles",
     ),
     "recommendation_suitability": (
-        _over_catalogue(r.recommendation_suitability),
+        _over_catalogue(r.recommendation_suitability, content=False, dates=False),
         f"WITH {RECOMMENDATION} SELECT *, item_col IS NOT NULL AND (user_col IS NOT NULL OR invoice_col IS NOT NULL) "
         "AS is_suitable FROM roles",
     ),
     "review_suitability": (
-        _over_catalogue(r.review_suitability),
+        _over_catalogue(r.review_suitability, dates=False),
         f"WITH {REVIEW} SELECT roles.dataset, review_col, product_col, rating_col, CASE WHEN review_col IS NOT NULL THEN '' "
         f"WHEN t.has_text THEN '{r.NO_PROSE}' ELSE '{r.NO_TEXT}' END AS missing_requirements, "
         "review_col IS NOT NULL AS is_suitable FROM roles JOIN "

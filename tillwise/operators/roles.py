@@ -8,7 +8,6 @@ table is one ``min_by``; no rule list is joined.
 from __future__ import annotations
 
 import difflib
-import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -18,11 +17,8 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.text import col
 from tillwise.operators.profiling import (
-    DATE_LIKE,
-    SNIFFED_ROWS,
     column_facts,
     looks_like_date,
-    preview,
     text_columns,
     type_name,
 )
@@ -65,21 +61,27 @@ NO_PROSE = (
 
 
 def catalogue(
-    tables: Mapping[str, DataFrame], order_by: Mapping[str, Sequence[str]] | None = None, measure_all: bool = False
+    tables: Mapping[str, DataFrame],
+    order_by: Mapping[str, Sequence[str]] | None = None,
+    measure_all: bool = False,
+    content: bool = True,
+    dates: bool = True,
 ) -> DataFrame:
     """(dataset, position, column, dtype, is_text, is_date, measures) for all columns of the tables.
 
     One aggregate per table and a union of the results: a single job whose tables run side by
     side. Content is measured where the name makes the column a candidate for a role judged by
-    content (or everywhere, on request), so no other column is read. The result has a row per
+    content (or everywhere, on request), so no other column is read; without ``content`` only rows are counted, and
+    without ``dates`` no value is looked at for dates. The result has a row per
     column and is saved, as every role looks at it several times.
     """
-    order_by = order_by or {}
-    measured = {name: df.columns for name, df in tables.items()} if measure_all else _candidates(tables)
-    facts = [
-        column_facts(df, name, _date_columns(df, order_by.get(name, [])), measured.get(name, []))
-        for name, df in tables.items()
-    ]
+    measured: Mapping[str, Sequence[str]] = {}
+    if measure_all:
+        measured = {name: df.columns for name, df in tables.items()}
+    elif content:
+        measured = _candidates(tables)
+    dated = _date_columns(tables, order_by or {}) if dates else {}
+    facts = [column_facts(df, name, dated.get(name, []), measured.get(name, [])) for name, df in tables.items()]
     return save(reduce(DataFrame.unionByName, facts))
 
 
@@ -97,25 +99,22 @@ def _candidates(tables: Mapping[str, DataFrame]) -> dict[str, list[str]]:
     return found
 
 
-def _date_columns(df: DataFrame, order_by: Sequence[str]) -> list[str]:
-    """Timestamp columns, and text columns that look like dates where no name says date or time.
+def _date_columns(tables: Mapping[str, DataFrame], order_by: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
+    """Per table its timestamp columns, and the text columns that look like dates where no name says date or time.
 
-    Only the first is ever used, so ten values per column are looked at until one fits.
+    One job for all such columns of all tables; ten values of each come to a verdict.
     """
-    typed = [f.name for f in df.schema if type_name(f.dataType) == "datetime64[ns]"]
-    texts = text_columns(df)
-    if not texts or any(k in c.lower() for c in df.columns for k in DATE_KEYWORDS):
-        return typed
-    head = preview(df, order_by, SNIFFED_ROWS) if order_by else df.limit(SNIFFED_ROWS)
-    rows = head.select(*[col(c) for c in texts]).collect()
-    for c in texts:
-        values = [r[c] for r in rows if r[c] is not None]
-        found = any(re.search(DATE_LIKE, v) for v in values)
-        if not found and len(values) < len(rows):
-            found = looks_like_date(df, c, order_by).first()["is_date"]
-        if found:
-            return [*typed, c]
-    return typed
+    found = {n: [f.name for f in df.schema if type_name(f.dataType) == "datetime64[ns]"] for n, df in tables.items()}
+    looks = [
+        looks_like_date(df, c, order_by.get(name) or df.columns[:1]).select(F.lit(name).alias("dataset"), F.lit(c).alias("column"), "is_date")
+        for name, df in tables.items()
+        if not any(k in c.lower() for c in df.columns for k in DATE_KEYWORDS)
+        for c in text_columns(df)
+    ]
+    if looks:
+        for row in reduce(DataFrame.unionByName, looks).where("is_date").collect():
+            found[row["dataset"]].append(row["column"])
+    return found
 
 
 # --- names ---
