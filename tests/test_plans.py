@@ -83,6 +83,19 @@ def test_join_spread_is_the_plain_join(spark, monkeypatch, small):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
 
 
+def test_boxes_stay_small_where_most_points_share_an_edge():
+    rng = np.random.default_rng(1)
+    n = 200_000
+    points = np.column_stack([np.full(n, 100.0), rng.normal(size=n), rng.normal(size=n)])
+    points[:10, 0] = rng.uniform(0, 50, 10)
+    boxes = space.cut_sample(points[::20], n // 2048)
+    counts = lambda b: dict(zip(*(x.tolist() for x in np.unique(b.leaf_of(points), return_counts=True))))
+    while (fewer := space.without_thin_sides(boxes, counts(boxes), 21)) is not None:
+        boxes = fewer
+    sizes = counts(boxes).values()
+    assert min(sizes) >= 21 and max(sizes) <= 3 * 2048
+
+
 def test_boxes_route_every_ball_to_all_its_leaves():
     rng = np.random.default_rng(4)
     points = np.concatenate([rng.normal(size=(500, 3)), rng.normal(size=(300, 3)) * 0.01])
