@@ -47,7 +47,11 @@ def test_a_third_of_customers_on_one_point(spark):
 
 @pytest.mark.parametrize("rows", [10, 11, 13, 40, 57, 399, 1000])
 def test_quartiles_equal_pandas_cut_of_ranks(spark, rows):
-    ranks = spark.range(1, rows + 1).select("id", segments.quartile(F.col("id"), rows).alias("q"))
+    table = spark.range(1, rows + 1).withColumn("same", F.lit(7))
+    # equal values are ranked by id
+    scores = segments.quarters(table, "id", rows, {"q": F.col("id") * 2, "tied": F.col("same")})
+    ranks = table.select("id", scores["q"].alias("q"), scores["tied"].alias("tied"))
+    assert ranks.where("q <> tied").count() == 0
     want = pd.qcut(pd.Series(range(1, rows + 1), dtype=float), 4, labels=[1, 2, 3, 4]).astype(int)
     assert [r["q"] for r in ranks.orderBy("id").collect()] == want.tolist()
 

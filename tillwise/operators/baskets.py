@@ -115,11 +115,16 @@ def association_rules(baskets: Baskets, min_lift: float = MIN_LIFT) -> DataFrame
     Both sides of a split are frequent themselves, so their supports come from equi-joins.
     """
     sets = _coded_itemsets(baskets).withColumn("support", F.col("freq") / F.lit(float(max(1, baskets.total))))
+    # a split is a choice for the first half of a set's items and one for the rest, so no array is longer than the
+    # square root of the number of splits
+    half = "floor(size(codes) / 2)"
     splits = sets.where(F.size("codes") >= 2).select(
-        "codes", "support", F.expr("explode(sequence(1L, shiftleft(1L, size(codes)) - 2))").alias("mask")
+        "codes", "support", F.expr(f"explode(sequence(0L, shiftleft(1L, cast({half} AS int)) - 1))").alias("low")
     )
-
     splits = splits.select(
+        "codes", "support", "low", F.expr(f"explode(sequence(0L, shiftleft(1L, cast(size(codes) - {half} AS int)) - 1))").alias("high")
+    ).select("codes", "support", F.expr(f"low + shiftleft(high, cast({half} AS int))").alias("mask"))
+    splits = splits.where(F.expr("mask > 0 AND mask < shiftleft(1L, size(codes)) - 1")).select(
         "support",
         F.expr("filter(codes, (x, i) -> (shiftright(mask, i) & 1) = 1)").alias("a"),
         F.expr("filter(codes, (x, i) -> (shiftright(mask, i) & 1) = 0)").alias("c"),

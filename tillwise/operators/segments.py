@@ -79,9 +79,28 @@ def whales(rfm: DataFrame) -> DataFrame:
     return flag_whales(rfm, cutoff).where("Is_Whale").drop("Is_Whale")
 
 
-def quartile(rank: Column, rows: int) -> Column:
-    """1..4: which quarter of the span 1..rows the rank falls in, upper edges included."""
-    return F.greatest(F.lit(1), F.floor((4 * (rank - 1) + (rows - 2)) / (rows - 1))).cast("int")
+def quarters(df: DataFrame, id_col: str, rows: int, measures: dict[str, Column]) -> dict[str, Column]:
+    """Per measure 1..4: which quarter of the span 1..rows a row's rank falls in, upper edges included.
+
+    Ranks go by measure, then id. Only the first row of each quarter is needed to tell them apart, so all measures are
+    ordered in one narrow sort, three rows of each are looked up, and the scores are comparisons with literals.
+    """
+    slots = [F.struct(F.lit(i).alias("m"), c.cast("double").alias("v"), col(id_col).alias("id")) for i, c in enumerate(measures.values())]
+    ranked = with_global_rank(df.select(F.inline(F.array(*slots))), ["m", "v", "id"], "rank")
+    # the smallest rank r with floor((4 (r - 1) + rows - 2) / (rows - 1)) >= k
+    starts = [1 - (-(k * (rows - 1) - (rows - 2)) // 4) for k in (2, 3, 4)]
+    wanted = [i * rows + r for i in range(len(measures)) for r in starts]
+    edges = ranked.where(F.col("rank").isin(wanted)).select("m", "v", "id").collect()
+    scores = {}
+    for i, (name, c) in enumerate(measures.items()):
+        here = F.struct(c.cast("double").alias("v"), col(id_col).alias("id"))
+        score = F.lit(1)
+        for e in edges:
+            if e["m"] == i:
+                edge = F.struct(F.lit(e["v"]).alias("v"), F.lit(e["id"]).cast(df.schema[id_col].dataType).alias("id"))
+                score = score + (here >= edge).cast("int")
+        scores[name] = score
+    return scores
 
 
 def segment_label(whale: Column, r: Column, f: Column, m: Column) -> Column:
@@ -113,15 +132,13 @@ def rfm_segments(
     cutoff, money_cap = exact_quantiles(rfm, "Monetary", [WHALE_QUANTILE, CAP_QUANTILE])
     flagged = flag_whales(rfm, cutoff) if find_whales else rfm.withColumn("Is_Whale", F.lit(False))
     (count_cap,) = exact_quantiles(rfm, "Frequency", [CAP_QUANTILE])
-    ranked = with_global_rank(flagged, ["Recency", col(id_col)], "_r")
-    ranked = with_global_rank(ranked, [F.least("Frequency", F.lit(count_cap)), col(id_col)], "_f")
-    ranked = with_global_rank(ranked, [F.least("Monetary", F.lit(money_cap)), col(id_col)], "_m")
-    scored = ranked.select(
+    scores = quarters(rfm, id_col, rows, {
+        "r": F.col("Recency"), "f": F.least("Frequency", F.lit(count_cap)), "m": F.least("Monetary", F.lit(money_cap)),
+    })
+    scored = flagged.select(
         *[col(c) for c in rfm.columns],
         "Is_Whale",
-        (5 - quartile(F.col("_r"), rows)).cast("int").alias("R_Score"),
-        quartile(F.col("_f"), rows).alias("F_Score"),
-        quartile(F.col("_m"), rows).alias("M_Score"),
+        (5 - scores["r"]).cast("int").alias("R_Score"), scores["f"].alias("F_Score"), scores["m"].alias("M_Score"),
     )
     r, f, m = F.col("R_Score"), F.col("F_Score"), F.col("M_Score")
     return scored.withColumn(
