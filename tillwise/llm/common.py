@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 16 << 20
 HOT_SHARE = 0.001
 LANES = 4096
+BATCH_ROWS = 1000
 
 
 def whole(text: Column) -> Column:
@@ -74,5 +74,10 @@ def attach(df: DataFrame, dim: DataFrame, key: str, rows: str, spread_by: Sequen
     return joined.select(*[col(c) for c in df.columns], *picked)
 
 
-def union_all(frames: Iterable[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, frames)
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to BATCH_ROWS rows: whole texts are long, and a worker holds several
+    copies of a batch at once. A smaller setting of the session's own stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.text import col
+from tillwise.llm.common import in_small_batches
 from tillwise.plans.scratch import save
 
 ROWS, BANDS = 4, 32
@@ -246,6 +247,7 @@ def near_duplicates(
     they get one component whatever their texts, and all of them are kept if one is. A missing doc_id makes no node:
     component_id is NULL and the row is kept. Empty tables give empty results; other columns are not read.
     """
+    docs = in_small_batches(docs)
     prints = save(fingerprints(docs, doc_id, text, width))
     known = prints.where(F.col("id").isNotNull() & F.col("key").isNotNull())
     payload = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.text import col
-from tillwise.llm.common import whole
+from tillwise.llm.common import in_small_batches, whole
 
 # fixed value: the published pre-token pattern of byte-level vocabularies
 PATTERN = (
@@ -150,7 +150,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", keep: lis
     results = ("n_bytes", "n_tokens", "over_limit")
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
     # the text travels beside the kept columns under a name of its own
-    taken = docs.select(whole(col(text)).alias("_text_"), *map(col, keep))
+    taken = in_small_batches(docs).select(whole(col(text)).alias("_text_"), *map(col, keep))
 
     sized = taken.withColumn("n_bytes", F.octet_length("_text_").cast("long"))
     schema = sized.drop("_text_").withColumn("n_tokens", F.lit(0).cast("long")).schema
