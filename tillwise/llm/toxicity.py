@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.functions.text import col
-from tillwise.llm.common import fold, windows, words
+from tillwise.llm.common import fold, in_small_batches, windows, words
 from tillwise.plans.scratch import save
 
 # fixed values: common English insults
@@ -236,6 +236,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Voters, label model and classifier. Labels give words and the prior; votes are counted over all of ``docs``."""
+    docs = in_small_batches(docs)
     sample = save(labelled_sample(docs, labels, doc_id, text, LABELLED))
     mined, prior = mine_words(sample)
     prior = min(max(prior, 0.005), 0.5)
@@ -251,15 +252,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         else:
             both[r["i"], r["j"]] = r["n"]
     model = LabelModel.fit(both, n, prior)
-    votes = _votes(docs, text, voters, FITTED)
+    votes = _votes(docs, text, voters, FITTED, n)
     weights, bias = np.zeros(v + 1), math.log(prior / (1 - prior))
     if len(votes):
         weights, bias = train_linear(inputs(votes, model), model.posterior(votes))
     return Model(voters, model, weights, bias)
 
 
-def _votes(docs: DataFrame, text: str, voters: Voters, bound: int) -> np.ndarray:
-    """Votes on at most ``bound`` documents, the first by hash of their text."""
+def _votes(docs: DataFrame, text: str, voters: Voters, bound: int, n: float) -> np.ndarray:
+    """Votes on at most ``bound`` of the ``n`` documents, the first by hash of their text.
+
+    Twice the bound's share of all hashes is looked at, so that tasks do not each send as many rows as the bound.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,6 +273,9 @@ def _votes(docs: DataFrame, text: str, voters: Voters, bound: int) -> np.ndarray
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fired, pa.list_(pa.int32()))], names=["h", "fired"])
 
     hashed = docs.select(F.xxhash64(col(text), F.lit("fit")).alias("h"), col(text).cast("string").alias("text"))
+    # hashes spread evenly over the 64-bit numbers
+    limit = int(-(1 << 63) + min(1.0, 2 * bound / max(n, 1.0)) * ((1 << 64) - 1))
+    hashed = hashed.where(F.col("h") <= F.lit(min(limit, (1 << 63) - 1)))
     picked = hashed.mapInArrow(run, "h long, fired array<int>").orderBy("h", "fired").limit(bound).collect()
     out = np.zeros((len(picked), len(voters.names)), np.float32)
     for i, r in enumerate(picked):
