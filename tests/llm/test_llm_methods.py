@@ -300,3 +300,20 @@ def test_snapshots_of_every_length_collapse(spark):
     rows = [(10 + n, k, *turns[k]) for n in range(1, 5) for k in range(n)] + [(50, 0, "user", "q"), (50, 1, "bot", "b")]
     out = chat.chat_texts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted(r["conv_id"] for r in out) == [14, 50]
+
+
+def test_licences_beside_other_notices_and_stray_words(spark):
+    bsd, mit = (next(t for _, t, _ in licenses.TEMPLATES if t.startswith(x)) for x in ("redistribution", "permission is"))
+    short = {label: t for label, t, _ in licenses.TEMPLATES if label in ("apache-2.0", "cc-by-sa", "gpl-3.0", "mpl", "cc0")}
+    stray = " ".join(f"{w} x" for w in reversed(licenses.vocabulary()) if w not in ("apache", "cc", "cc0", "gnu", "mozilla"))
+    texts = {(label, i): f"{before} x x {t} x x {after}" for label, t in short.items() for i, (before, after) in enumerate([
+        ("", ""), (bsd, mit), (stray, stray), (" ".join(t for _, t, _ in licenses.TEMPLATES), "")
+    ])}
+    # other files hold the words of the short notices, so the long notices' words are the rare ones
+    rows = [(i, t) for i, t in enumerate([*texts.values(), *[f"{t} {i}" for i in range(20) for t in short.values()]])]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for at, (label, i) in enumerate(texts):
+        labels = set(out[at]["labels"].split(","))
+        assert label in labels and out[at]["score"] == 1.0, (label, i)
+        assert i != 1 or {"bsd", "mit"} <= labels
+        assert i != 3 or labels == {label for label, _, _ in licenses.TEMPLATES}

@@ -1,9 +1,10 @@
-"""Licence scan: positional index of rare template words, alignment by relative position, key-phrase verification.
+"""Licence scan: key-phrase verification, positional index of template words, alignment by relative position.
 
 The words of all licence templates form a small vocabulary. Its document frequencies are counted over all files. A
-file is looked up by its few rarest licence words: each place of such a word, paired with each posting of it in a
-template, votes for the template to start at their difference. Templates whose start collects votes from enough
-different words are verified by the phrases that the licence cannot do without. Built-in functions only.
+template is looked up in every file that holds the phrases it cannot do without, by all of its own words that stand in
+the file, whatever other notices stand there: each place of such a word, paired with each posting of it in the
+template, votes for the template to start at their difference. A start with votes from enough different words finds the
+template, and rare words weigh most in its score. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from tillwise.llm.common import UPPER, LOWER, whole
 from tillwise.plans.scratch import save
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAREST = 6
 VOTES = 2
 
 # fixed values: phrases of the base scan and their labels
@@ -85,8 +85,8 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
     n_base counts all places of the BASE phrases, first_word and last_word are their smallest and largest start in
     words from 0 (NULL without any). labels adds the templates found to base_labels; both are distinct, sorted and
-    joined by commas, empty without any. score is the best share of a found template's rare words that stand where it
-    has them; a file with base places only scores 0.5, one without labels 0. A missing text is empty. Rows pass one by
+    joined by commas, empty without any. score is the best share of a found template's words in the file, weighted by
+    idf, that stand where it has them; a file with base places only scores 0.5, one without labels 0. A missing text is empty. Rows pass one by
     one but for the document frequencies, in which repeated rows count each. An empty table gives an empty result.
     Columns named as results are replaced.
     """
@@ -119,37 +119,40 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     idf = {r["word"]: r["idf"] for r in weights}
     none = F.array().cast("array<int>")
     base = F.flatten(F.array(*[F.coalesce(at[p], none) for p, _ in BASE]))
-    ranked = sorted(vocab, key=lambda word: (-idf.get(word, 99.0), word))
-    # the file's rarest licence words, in the order of the corpus-wide ranking
-    rare = F.slice(F.filter(F.array(*map(F.lit, ranked)), lambda word: F.array_contains("held", word)), 1, RAREST)
-    scored = files.withColumn("_lic_rare", F.when(F.col("_lic_spots").isNotNull(), rare))
-    scored = scored.withColumn("_lic_hits", F.filter("_lic_spots", lambda s: F.array_contains("_lic_rare", s["w"])))
 
     def template(wording: str, must: tuple[str, ...]) -> Column:
-        """Best share of the file's rare words of this template that agree on its start; NULL where not verified."""
-        posted = [(word, i) for i, word in enumerate(wording.split())]
-        postings = F.array(*[F.struct(F.lit(word).alias("w"), F.lit(i).alias("i")) for word, i in posted])
-        starts = F.flatten(F.transform("_lic_hits", lambda s: F.transform(
-            F.filter(postings, lambda p: p["w"] == s["w"]), lambda p: s["i"] - p["i"]
+        """Best share, by idf, of the file's words of this template that agree on its start; NULL where not verified."""
+        own = sorted(set(wording.split()))
+        weight = F.array(*[F.struct(F.lit(word).alias("w"), F.lit(float(idf.get(word, 0.0))).alias("idf")) for word in own])
+        postings = F.array(*[
+            F.struct(F.lit(word).alias("w"), F.lit(i).alias("i"), F.lit(own.index(word)).alias("k"), F.lit(float(idf.get(word, 0.0))).alias("idf"))
+            for i, word in enumerate(wording.split())
+        ])
+        votes = F.flatten(F.transform("_lic_spots", lambda s: F.transform(
+            F.filter(postings, lambda p: p["w"] == s["w"]),
+            lambda p: F.struct((s["i"] - p["i"]).alias("v"), p["k"].alias("k"), p["idf"].alias("idf")),
         )))
-        present = F.size(F.array_intersect("_lic_rare", F.array(*[F.lit(word) for word, _ in posted])))
-        sorted_starts = F.sort_array(starts)
-        # the longest run of one value: each entry equal to the one VOTES - 1 later is an agreement
-        zero = F.struct(F.lit(None).cast("int").alias("v"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+        # a word that the template repeats votes once for a start; the words of a start follow each other in order
+        votes = F.sort_array(votes)
+        zero = F.struct(F.lit(None).cast("int").alias("v"), F.lit(-1).alias("k"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
         def step(a, x):
-            n = F.when(a["v"] == x, a["n"] + 1).otherwise(1)
-            return F.struct(x.alias("v"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
-
-        best = F.aggregate(sorted_starts, zero, step, lambda a: a["best"])
+            same = F.coalesce(a["v"] == x["v"], F.lit(False))
+            again = same & (a["k"] == x["k"])
+            n = F.when(again, a["n"]).when(same, a["n"] + 1).otherwise(1)
+            total = F.when(again, a["sum"]).when(same, a["sum"] + x["idf"]).otherwise(x["idf"])
+            best = F.when(n >= VOTES, F.greatest(a["best"], total)).otherwise(a["best"])
+            return F.struct(x["v"].alias("v"), x["k"].alias("k"), n.alias("n"), total.alias("sum"), best.alias("best"))
+
+        best = F.aggregate(votes, zero, step, lambda a: a["best"])
+        present = F.aggregate(F.filter(weight, lambda p: F.array_contains("held", p["w"])), F.lit(0.0), lambda a, p: a + p["idf"])
         verified = F.lit(True)
         for phrase in must:
             verified = verified & (F.size(at[phrase]) > 0)
-        share = F.least(F.lit(1.0), best / F.greatest(present, F.lit(1)))
-        return F.when(F.size("_lic_hits") > 0, F.when(verified, F.when(best >= VOTES, share)))
+        return F.when(verified, F.when(best > 0, F.least(F.lit(1.0), best / present)))
 
     found = F.array(*[F.struct(F.lit(label).alias("label"), template(wording, must).alias("share")) for label, wording, must in TEMPLATES])
-    scored = scored.withColumn("_lic_found", F.when(F.col("_lic_spots").isNotNull(), F.filter(found, lambda f: f["share"].isNotNull())))
+    scored = files.withColumn("_lic_found", F.when(F.col("_lic_spots").isNotNull(), F.filter(found, lambda f: f["share"].isNotNull())))
     base_labels = F.array_compact(F.array(*[F.when(F.size(at[p]) > 0, F.lit(label)) for p, label in BASE]))
     more = F.coalesce(F.col("_lic_found.label"), F.array().cast("array<string>"))
     joined = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
