@@ -317,3 +317,21 @@ def test_licences_beside_other_notices_and_stray_words(spark):
         assert label in labels and out[at]["score"] == 1.0, (label, i)
         assert i != 1 or {"bsd", "mit"} <= labels
         assert i != 3 or labels == {label for label, _, _ in licenses.TEMPLATES}
+
+
+def test_near_copies_of_every_text_of_a_repeated_id(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [[word() for _ in range(n)] for n in (60, 90, 200, 45)]
+    near = [[*t[:-1], word()] for t in base]
+    # four texts share id 1, two near copies of one another share id 30; each text of id 1 has a near copy under another id
+    rows = [(1, t) for t in base] + [(20 + i, t) for i, t in enumerate(near)] + [(30, base[0][:-2]), (30, base[0][:-3] + [word()])]
+    alone = [word() for _ in range(80)]
+    rows += [(40, alone), (40, [*alone[:-1], word()]), (41, [word() for _ in range(70)]), (1, base[0])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    out = odd_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    sizes = collections.Counter((i, len(shingles(t))) for i, t in rows)
+    assert collections.Counter((r["doc_id"], r["n_shingles"]) for r in out) == sizes
+    assert {r["doc_id"]: r["component_id"] for r in out} == {**dict.fromkeys([1, 20, 21, 22, 23, 30], 1), 40: 40, 41: 41}
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)

@@ -1,6 +1,7 @@
 """Near-duplicate documents: banded MinHash candidates, odd-sketch verification, exact confirmation.
 
-1. Texts with the same words form a class; the class with its smallest doc_id stands for its members.
+1. Texts with the same words form a class, named by the digest of its words; the smallest doc_id stands for its
+   members once links between classes are found.
 2. Every class gets SAMPLES MinHash values. Runs of ROWS of them are band keys; classes with a common key are
    candidates. All samples are also folded into an odd sketch, a bitmap in which each sample flips one bit: the
    number of ones in the XOR of two sketches tells how many samples differ, precisely where similarity is high.
@@ -100,14 +101,14 @@ def estimate(flipped: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """Per row: id, key (digest of the word sequence, NULL without words), n, bands, sketch."""
-    schema = "id long, key binary, n long, bands array<long>, sketch binary"
+    """Per row: id, hash (of the text as it stands), key (digest of the word sequence, NULL without words), n, bands, sketch."""
+    schema = "id long, hash long, key binary, n long, bands array<long>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                rows: dict[str, list] = {"id": part.column(0).to_pylist(), "key": [], "n": [], "bands": [], "sketch": []}
+                rows: dict[str, list] = {"id": part.column(0).to_pylist(), "hash": part.column(2).to_pylist(), "key": [], "n": [], "bands": [], "sketch": []}
                 lists = [tokens(t) for t in part.column(1).to_pylist()]
                 for listed, shingles in zip(lists, shingle_sets(lists, width), strict=True):
                     rows["n"].append(len(shingles))
@@ -125,14 +126,15 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFra
                 yield pa.RecordBatch.from_pydict(rows, schema=pa_schema)
 
     pa_schema = pa.schema([
-        ("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()),
+        ("id", pa.int64()), ("hash", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())),
+        ("sketch", pa.binary()),
     ])
-    return docs.select(col(doc_id).cast("long"), col(text)).mapInArrow(run, schema)
+    return docs.select(col(doc_id).cast("long"), col(text), F.xxhash64(col(text))).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
-    """rep and its whole shingle set, for the classes in ``wanted`` (rep, key)."""
-    schema = "rep long, shingles binary"
+    """key and its whole shingle set, for the classes in ``wanted`` (rep, hash, key): a member's id and text hash."""
+    schema = "key binary, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,18 +142,17 @@ def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, width: int
                 part = batch.slice(at, SLICE)
                 lists = [tokens(t) for t in part.column(1).to_pylist()]
                 keys = part.column(2).to_pylist()
-                # rows with the same id may hold another text
+                # texts with the same id and hash may still differ
                 same = [i for i, w in enumerate(lists) if hashlib.blake2b(b" ".join(w), digest_size=16).digest() == keys[i]]
                 sets = shingle_sets([lists[i] for i in same], width) if same else []
-                reps = part.column(0).to_pylist()
                 yield pa.RecordBatch.from_pydict(
-                    {"rep": [reps[i] for i in same], "shingles": [s.tobytes() for s in sets]},
-                    schema=pa.schema([("rep", pa.int64()), ("shingles", pa.binary())]),
+                    {"key": [keys[i] for i in same], "shingles": [s.tobytes() for s in sets]},
+                    schema=pa.schema([("key", pa.binary()), ("shingles", pa.binary())]),
                 )
 
     # copies of a row are read once
-    texts = docs.select(col(doc_id).cast("long").alias("rep"), col(text).alias("text"))
-    return texts.join(wanted, "rep").select("rep", "text", "key").mapInArrow(run, schema).dropDuplicates(["rep"])
+    texts = docs.select(col(doc_id).cast("long").alias("rep"), F.xxhash64(col(text)).alias("hash"), col(text).alias("text"))
+    return texts.join(wanted, ["rep", "hash"]).select("rep", "text", "key").mapInArrow(run, schema).dropDuplicates(["key"])
 
 
 def _find(parent: np.ndarray, x: int) -> int:
@@ -162,21 +163,23 @@ def _find(parent: np.ndarray, x: int) -> int:
 
 
 def _confirm(similar: int):
-    """Spanning links of one comparison: rows (item, side, rep, group, n, sketch, shingles)."""
+    """Spanning links of one comparison: rows (item, side, key, group, rep, n, sketch, shingles)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "rep"], kind="stable")
-        reps, side, n = rows["rep"].to_numpy(), rows["side"].to_numpy(), rows["n"].to_numpy()
+        rows = rows.sort_values(["side", "key"], kind="stable")
+        keys, reps = rows["key"].to_numpy(), rows["rep"].to_numpy()
+        side, n = rows["side"].to_numpy(), rows["n"].to_numpy()
         sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
         sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-        group = pd.factorize(rows["group"])[0]
+        same, group = pd.factorize(rows["key"])[0], pd.factorize(rows["group"])[0]
         parent = np.arange(len(rows) + 1)
-        a, b = [], []
+        a: list[int] = []
+        b: list[int] = []
         left = np.flatnonzero(side == 0)
         for i in left.tolist():
             # one side only: compare within; two sides: across
             others = np.flatnonzero(side == 1) if (side == 1).any() else left[left > i]
-            others = others[(reps[others] != reps[i]) & (group[others] != group[i])]
+            others = others[(same[others] != same[i]) & (group[others] != group[i])]
             small, large = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
             others = others[100 * small >= similar * large]
             if not len(others):
@@ -191,9 +194,11 @@ def _confirm(similar: int):
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * common >= similar * (n[i] + n[j] - common):
                     parent[max(x, y)] = min(x, y)
-                    a.append(reps[i])
-                    b.append(reps[j])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                    a.append(i)
+                    b.append(j)
+        at, to = np.array(a, np.int64), np.array(b, np.int64)
+        ends = {"a": keys[at], "b": keys[to], "x": reps[at], "y": reps[to]}
+        return pd.DataFrame(ends)
 
     return run
 
@@ -225,9 +230,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _compare(work: DataFrame, classes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Links found in the comparisons ``work`` (item, side, rep, group)."""
-    full = work.join(classes.select("rep", "n", "sketch"), "rep").join(sets, "rep")
-    return full.groupBy("item").applyInPandas(_confirm(similar), "a long, b long")
+    """Links (a, b) with their doc_ids (x, y) found in the comparisons ``work`` (item, side, key, group)."""
+    full = work.join(classes.select("key", "rep", "n", "sketch"), "key").join(sets, "key")
+    return full.groupBy("item").applyInPandas(_confirm(similar), "a binary, b binary, x long, y long")
 
 
 def _labelled(frame: DataFrame, found: DataFrame, node: str, out: str) -> DataFrame:
@@ -251,51 +256,51 @@ def near_duplicates(
     prints = save(fingerprints(docs, doc_id, text, width))
     known = prints.where(F.col("id").isNotNull() & F.col("key").isNotNull())
     payload = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
-    classes = save(known.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), *payload))
+    classes = known.groupBy("key").agg(F.min(F.struct("id", "hash")).alias("m"), F.count(F.lit(1)).alias("copies"), *payload)
+    classes = save(classes.select("key", F.col("m.id").alias("rep"), F.col("m.hash").alias("hash"), "copies", "n", "bands", "sketch"))
 
-    slots = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
-    slots = slots.select("rep", F.xxhash64("band", "hash").alias("bucket"))
+    slots = classes.select("key", F.posexplode("bands").alias("band", "hash"))
+    slots = slots.select("key", F.xxhash64("band", "hash").alias("bucket"))
     sizes = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = save(slots.join(sizes, "bucket"))
     # the hub of a bucket is the class with most company over all its bands
-    company = member.groupBy("rep").agg(F.sum("size").alias("company"))
-    member = save(member.join(company, "rep"))
-    first = F.max(F.struct("company", (-F.col("rep")).alias("rep")))
-    hubs = member.groupBy("bucket").agg((-first["rep"]).alias("hub"))
-    placed = save(member.join(hubs, "bucket").select("bucket", "rep", "size", "hub"))
+    company = member.groupBy("key").agg(F.sum("size").alias("company"))
+    member = save(member.join(company, "key"))
+    hubs = member.groupBy("bucket").agg(F.max(F.struct("company", "key"))["key"].alias("hub"))
+    placed = save(member.join(hubs, "bucket").select("bucket", "key", "size", "hub"))
 
-    wanted = placed.select("rep").distinct().join(classes.select("rep", "key"), "rep")
+    wanted = placed.select("key").distinct().join(classes.select("key", "rep", "hash"), "key")
     sets = save(_sets(docs, doc_id, text, wanted, width))
 
     # stars: each hub with its members, in chunks of bounded size
-    pairs = placed.where("rep <> hub").select("hub", "rep").distinct().join(classes.select("rep", "n"), "rep")
+    pairs = placed.where("key <> hub").select("hub", "key").distinct().join(classes.select("key", "n"), "key")
     load = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     chunks = F.ceil(F.greatest(F.col("c") / BLOCK_DOCS, F.col("s") / BLOCK_SHINGLES)).cast("long")
-    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks"))
-    spokes = save(pairs.join(load.select("hub", chunks.alias("chunks")), "hub").select("hub", "rep", chunk.alias("chunk")))
+    chunk = F.pmod(F.xxhash64("key"), F.col("chunks"))
+    spokes = save(pairs.join(load.select("hub", chunks.alias("chunks")), "hub").select("hub", "key", chunk.alias("chunk")))
     item = F.xxhash64("hub", "chunk").alias("item")
-    spoke = spokes.select(item, F.lit(1).alias("side"), "rep", F.col("rep").alias("group"))
-    centre = spokes.select(item, F.lit(0).alias("side"), F.col("hub").alias("rep"), F.col("hub").alias("group")).distinct()
+    spoke = spokes.select(item, F.lit(1).alias("side"), "key", F.col("key").alias("group"))
+    centre = spokes.select(item, F.lit(0).alias("side"), F.col("hub").alias("key"), F.col("hub").alias("group")).distinct()
     links = save(_compare(spoke.unionByName(centre), classes, sets, similar))
     found = save(components(links))
 
     # what the stars left apart: members of one bucket in several components, its hub aside
-    apart = save(_labelled(placed.where("rep <> hub").select("bucket", "rep", "hub"), found, "rep", "group"))
+    apart = save(_labelled(placed.where("key <> hub").select("bucket", "key", "hub"), found, "key", "group"))
     mixed = apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("group").alias("lo"), F.max("group").alias("hi"))
     apart = save(apart.join(mixed.where("lo <> hi").select("bucket", "size"), "bucket"))
     # a class is at home with the hub of its largest bucket, which the buckets of one dense group share
-    home = apart.groupBy("rep").agg(F.max(F.struct("size", "hub")).alias("h")).select("rep", "h.hub")
-    home = save(home.join(classes.select("rep", "n"), "rep"))
+    home = apart.groupBy("key").agg(F.max(F.struct("size", "hub")).alias("h")).select("key", "h.hub")
+    home = save(home.join(classes.select("key", "n"), "key"))
     load = home.groupBy("hub").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     home = home.join(load.select("hub", chunks.alias("chunks")), "hub")
-    home = save(home.select("rep", F.xxhash64("hub", chunk).alias("block")))
-    touched = save(apart.join(home, "rep").select("bucket", "block").distinct())
+    home = save(home.select("key", F.xxhash64("hub", chunk).alias("block")))
+    touched = save(apart.join(home, "key").select("bucket", "block").distinct())
     left, right = touched.withColumnRenamed("block", "x"), touched.withColumnRenamed("block", "y")
     meetings = left.join(right, "bucket").where("x <= y").select("x", "y").distinct()
     work = meetings.select(F.xxhash64("x", "y").alias("item"), F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("x").alias("block")), F.struct(F.lit(1).alias("side"), F.col("y").alias("block")),
     )).alias("s"), (F.col("x") == F.col("y")).alias("own")).where("NOT own OR s.side = 0").select("item", "s.side", "s.block")
-    work = _labelled(work.join(home, "block").select("item", "side", "rep"), found, "rep", "group")
+    work = _labelled(work.join(home, "block").select("item", "side", "key"), found, "key", "group")
     more = save(_compare(work, classes, sets, similar))
 
     # classes of copies, and rows that share an id, are links too
@@ -303,7 +308,8 @@ def near_duplicates(
     copies = known.select("key", "id").join(rep, "key").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     shared = known.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
     doubles = known.join(shared, "id").join(classes.select("key", "rep"), "key").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    linked = links.unionByName(more).unionByName(doubles).unionByName(copies)
+    # classes give way to the smallest doc_id that holds their text
+    linked = links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(doubles).unionByName(copies)
     found = components(linked)
     rows = _labelled(prints.select(F.col("id"), F.col("n").alias("n_shingles")), found, "id", "component_id")
     return rows.select(
