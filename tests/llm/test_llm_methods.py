@@ -335,3 +335,25 @@ def test_near_copies_of_every_text_of_a_repeated_id(spark):
     assert collections.Counter((r["doc_id"], r["n_shingles"]) for r in out) == sizes
     assert {r["doc_id"]: r["component_id"] for r in out} == {**dict.fromkeys([1, 20, 21, 22, 23, 30], 1), 40: 40, 41: 41}
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
+
+
+def test_label_model_finds_every_pair_of_a_copied_text():
+    rng = np.random.default_rng(9)
+    n, prior = 100_000, 0.2
+    y = rng.random(n) < prior
+    votes = (rng.random((n, 30)) < np.where(y[:, None], 0.2, 0.02)).astype(float)
+    # copies of one text fire seven voters at once
+    votes[:4000, 23:] = 1
+    model = toxicity.LabelModel.fit(votes.T @ votes, n, prior)
+    assert set(model.correlated) == {(i, j) for i in range(23, 30) for j in range(i + 1, 30)}
+    assert np.allclose(model.weight[23:], 1 / 7) and np.allclose(model.weight[:23], 1)
+
+
+def test_classifier_sees_different_texts_beside_many_copies(spark):
+    texts = [f"text {i}" for i in range(200)] + ["you are stupid"] * 400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    votes, copies = toxicity._votes(docs, "text", toxicity.Voters(sorted(toxicity.SEED_WORDS)), 201)
+    assert len(votes) == 201 and sorted(copies) == [1] * 200 + [400]
+    x, soft = np.array([[0.0], [1.0], [1.0]]), np.array([0.1, 0.9, 0.9])
+    pooled, each = toxicity.train_linear(x[:2], soft[:2], count=np.array([1.0, 2.0])), toxicity.train_linear(x, soft)
+    assert pooled[0] == pytest.approx(each[0]) and pooled[1] == pytest.approx(each[1])

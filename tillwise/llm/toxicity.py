@@ -30,7 +30,7 @@ SEED_WORDS = (
     "worthless", "dumb", "imbecile", "vermin", "filthy", "bastard", "jerk", "fool",
 )
 WORDS = re.compile(r"[^\W\d_]+")
-# labelled training documents that words are mined from, and documents that the classifier is fitted on, at most
+# labelled training documents that words are mined from, and different texts that the classifier is fitted on, at most
 LABELLED, FITTED = 20_000, 20_000
 MINED, LEAST_SUPPORT, LEAST_ODDS, LEAST_GAIN = 64, 3, 2.5, 25.0
 # how much likelier a voter must fire on toxic texts to count for the classifier's joint input
@@ -166,15 +166,11 @@ class LabelModel:
             if len(j):
                 # of three independent voters any one's share follows; a low middle value stands correlated pairs
                 factor[i] = math.sqrt(np.quantile(cov[i, j] * cov[i, k] / cov[j, k], 0.4))
-        pairs: list[tuple[int, int]] = []
-        for _ in range(20):
-            rest = np.where(mask, (cov - np.outer(factor, factor)) / np.outer(spread, spread), 0)
-            i, j = np.unravel_index(np.argmax(rest), rest.shape)
-            # what the class does not explain is a correlation of the two voters themselves
-            if rest[i, j] < CORRELATED:
-                break
-            pairs.append((int(min(i, j)), int(max(i, j))))
-            mask[i, j] = mask[j, i] = False
+        # what the class does not explain is a correlation of the two voters themselves
+        rest = np.where(mask, (cov - np.outer(factor, factor)) / np.outer(spread, spread), 0)
+        i, j = np.nonzero(np.triu(rest >= CORRELATED, 1))
+        pairs = list(zip(i.tolist(), j.tolist(), strict=True))
+        mask[i, j] = mask[j, i] = False
         for _ in range(200):
             square = np.where(mask, factor[None, :] ** 2, 0).sum(axis=1)
             new = np.where(mask, cov * factor[None, :], 0).sum(axis=1) / np.maximum(square, 1e-15)
@@ -202,11 +198,13 @@ def inputs(votes: np.ndarray, labels: LabelModel) -> np.ndarray:
     return np.hstack([votes, (votes[:, trusted] > 0).any(axis=1, keepdims=True)])
 
 
-def train_linear(votes: np.ndarray, soft: np.ndarray, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic weights and bias on soft labels, by Newton steps; equal vote rows are pooled first."""
+def train_linear(votes: np.ndarray, soft: np.ndarray, penalty: float = 1e-4, count: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic weights and bias on soft labels of ``count`` documents each (one by default), by Newton steps; equal vote
+    rows are pooled first."""
+    count = np.ones(len(votes)) if count is None else count
     rows, where = np.unique(votes, axis=0, return_inverse=True)
-    n = np.bincount(where.ravel(), minlength=len(rows)).astype(float)
-    y = np.bincount(where.ravel(), weights=soft, minlength=len(rows)) / n
+    n = np.bincount(where.ravel(), weights=count, minlength=len(rows))
+    y = np.bincount(where.ravel(), weights=soft * count, minlength=len(rows)) / n
     x = np.hstack([rows, np.ones((len(rows), 1))]).astype(float)
     w = np.zeros(x.shape[1])
     ridge = penalty * n.sum() * np.ones_like(w)
@@ -252,15 +250,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         else:
             both[r["i"], r["j"]] = r["n"]
     model = LabelModel.fit(both, n, prior)
-    votes = _votes(docs, text, voters, FITTED, n)
+    votes, copies = _votes(docs, text, voters, FITTED)
     weights, bias = np.zeros(v + 1), math.log(prior / (1 - prior))
     if len(votes):
-        weights, bias = train_linear(inputs(votes, model), model.posterior(votes))
+        weights, bias = train_linear(inputs(votes, model), model.posterior(votes), count=copies)
     return Model(voters, model, weights, bias)
 
 
-def _votes(docs: DataFrame, text: str, voters: Voters, bound: int, n: float) -> np.ndarray:
-    """Votes on at most ``bound`` of the ``n`` documents, the first by hash of their text.
+def _votes(docs: DataFrame, text: str, voters: Voters, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Votes on at most ``bound`` different texts, the first by hash, and the number of documents with each.
 
     Twice the bound's share of all hashes is looked at, so that tasks do not each send as many rows as the bound.
     """
@@ -273,14 +271,16 @@ def _votes(docs: DataFrame, text: str, voters: Voters, bound: int, n: float) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fired, pa.list_(pa.int32()))], names=["h", "fired"])
 
     hashed = docs.select(F.xxhash64(col(text), F.lit("fit")).alias("h"), col(text).cast("string").alias("text"))
+    texts = hashed.agg(F.approx_count_distinct("h", 0.05).alias("n")).first()["n"]
     # hashes spread evenly over the 64-bit numbers
-    limit = int(-(1 << 63) + min(1.0, 2 * bound / max(n, 1.0)) * ((1 << 64) - 1))
+    limit = int(-(1 << 63) + min(1.0, 2 * bound / max(texts, 1)) * ((1 << 64) - 1))
     hashed = hashed.where(F.col("h") <= F.lit(min(limit, (1 << 63) - 1)))
-    picked = hashed.mapInArrow(run, "h long, fired array<int>").orderBy("h", "fired").limit(bound).collect()
+    counted = hashed.mapInArrow(run, "h long, fired array<int>").groupBy("h").agg(F.min("fired").alias("fired"), F.count(F.lit(1)).alias("n"))
+    picked = counted.orderBy("h").limit(bound).collect()
     out = np.zeros((len(picked), len(voters.names)), np.float32)
     for i, r in enumerate(picked):
         out[i, r["fired"]] = 1
-    return out
+    return out, np.array([r["n"] for r in picked], float)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
