@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import chat, decontaminate, licenses, lm_score, mixing, odd_sketch, quality, token_counts, toxicity, url_filter
-from tillwise.llm.common import fold
+from tillwise.llm import (
+    chat, decontaminate, exact_dedup, licenses, lm_score, mixing, odd_sketch, periodic_runs, quality, spelling, token_counts,
+    toxicity, url_filter,
+)
+from tillwise.llm.common import fold, lower_ascii, whole, words
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,6 +69,57 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
+def _misspelt_words(docs: DataFrame) -> DataFrame:
+    """(word, n): words of seven letters or more, every 31st (by checksum of document and word) with a letter left out."""
+    found = docs.select(
+        F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":")).alias("id"),
+        F.explode(F.regexp_extract_all(lower_ascii(whole(F.col("text"))), F.lit(r"[A-Za-z\u00C0-\u00FF]{7,}"), F.lit(0))).alias("run"),
+    )
+    h = F.crc32(F.concat("id", "run").cast("binary"))
+    gone = (h % F.length("run")).cast("int")
+    shorter = F.concat(F.substr("run", F.lit(1), gone), F.substr("run", gone + 2))
+    written = found.select(F.when(h % 31 == 0, shorter).otherwise(F.col("run")).alias("word")).where(F.length("word") >= 7)
+    return written.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    found = spelling.spelling_variants(_misspelt_words(table(spark, folder, "documents")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents, a tenth of them (by checksum of the id) with a tail that repeats a stretch of their own words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    drawn = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words(F.col("text"))).alias("w"))
+    sized = drawn.select("*", F.size("w").alias("n")).select(
+        "*", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int").alias("a")
+    ).select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    period = F.slice("w", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))), 1, F.col("n") - F.col("a"))
+    planted = F.array_join(F.concat(F.slice("w", 1, F.col("a")), tail), " ")
+    return sized.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_with_planted_runs(table(spark, folder, "documents")), keep=["doc_id"])
+    # the greatest exponent, compared exactly
+    higher = lambda a, b: b["length"] * a["period"] - a["length"] * b["period"]
+    by = lambda a, b: F.when(higher(a, b) != 0, F.sign(higher(a, b))).when(a["start"] != b["start"], F.sign(a["start"] - b["start"])).otherwise(F.sign(a["period"] - b["period"])).cast("int")
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = found.withColumn("best", F.get(F.array_sort("runs", by), 0))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.expr("1000 * best.length div best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 W = r"'[^\x20\x09-\x0D]+'"
 
 QUALITY_SQL = rf"""
@@ -146,6 +200,70 @@ whole AS (SELECT chat, min(conv_id) AS conv_id, any_value(k) AS n_turns, count(*
 SELECT conv_id, n_turns, n_copies, chat FROM whole ANTI JOIN (SELECT chat FROM prefixes WHERE NOT own) AS longer USING (chat)
 """
 
+def _crc32_sql(text):
+    """DuckDB has no crc32: bytes are added to the checksum one by one, each followed by eight shifts (marked -1)."""
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(0, strlen({text})),
+      lambda i: [('0x' || substr(hex({text}), (2 * i + 1)::BIGINT, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+
+SPELLING_SQL = rf"""
+WITH RECURSIVE r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' AS d, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z{chr(0xC0)}-{chr(0xFF)}]+')) AS run FROM documents),
+c AS (SELECT d || run AS k, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, {_crc32_sql('k')} AS h FROM c),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM w, unnest(range(1, length(word) + 1)) AS u(i)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n AS bn FROM d AS a JOIN d AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    AND length(a.word) = length(b.word)
+  UNION SELECT w.word, d.word, d.n FROM w JOIN d ON d.rest = w.word
+  UNION SELECT d.word, w.word, w.n FROM w JOIN d ON d.rest = w.word),
+near AS (SELECT a AS word, count(*) AS n_near, min(struct_pack(k := -bn, b := b)) AS best FROM pairs GROUP BY a),
+f AS (
+  SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.k >= 10 * n THEN best.b END AS form,
+    CASE WHEN -best.k >= 10 * n THEN -best.k END::BIGINT AS form_n FROM w LEFT JOIN near USING (word)),
+chain AS (SELECT word, word AS root FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, root FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+"""
+
+COPIES_SQL = r"""
+WITH t AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
+FROM t WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+RUNS_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {W}) AS w, {_crc32_sql('doc_id::VARCHAR')} AS h FROM documents),
+g AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+w AS (
+  SELECT r, i, CASE WHEN a IS NOT NULL AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS word FROM p, unnest(range(0, n)) AS u(i)),
+five AS (
+  SELECT r, i, word || chr(10) || lead(word, 1) OVER o || chr(10) || lead(word, 2) OVER o || chr(10) || lead(word, 3) OVER o || chr(10) ||
+    lead(word, 4) OVER o AS k FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+met AS (SELECT b.r, b.i, b.i - a.i AS lag FROM five AS a JOIN five AS b ON a.r = b.r AND a.k = b.k AND a.i < b.i),
+isles AS (SELECT *, i - row_number() OVER (PARTITION BY r, lag ORDER BY i) AS isle FROM met),
+long AS (
+  SELECT r, lag AS period, min(i) - lag AS start, count(*) + 4 + lag AS length FROM isles GROUP BY r, lag, isle
+  HAVING count(*) + 4 + lag >= greatest(6, 4 * lag)),
+runs AS (SELECT r, start, length, min(period) AS period FROM long GROUP BY ALL),
+best AS (
+  SELECT r, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256,
+    arg_min(struct_pack(s := start, l := length, p := period), struct_pack(e := -(length::DOUBLE / period), s := start, p := period)) AS best FROM runs GROUP BY r),
+dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, sha256(string_agg(word, ' ' ORDER BY i)) AS s FROM w ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period,
+  (1000 * best.l // best.p)::BIGINT AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(s, sha256('')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, QUALITY_SQL),
     "op2_lm_score": (op2_lm_score, None),
@@ -157,4 +275,7 @@ QUERIES = {
     "op8_chat_texts": (op8_chat_texts, CHAT_SQL),
     "op9_license_scan": (op9_license_scan, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_spelling_variants": (op11_spelling_variants, SPELLING_SQL),
+    "op12_exact_duplicates": (op12_exact_duplicates, COPIES_SQL),
+    "op13_periodic_runs": (op13_periodic_runs, RUNS_SQL),
 }
