@@ -57,6 +57,29 @@ def test_rules(spark, lexicon):
         assert got[i] == compound(total), text
 
 
+def test_scoring_stays_in_the_row(reviews, lexicon, capsys):
+    s.score_reviews(reviews, "body", lexicon, ["id"]).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Generate" not in plan and "Sort" not in plan
+
+
+def test_a_large_lexicon_scores_alike(spark, lexicon, monkeypatch):
+    texts = [text for text, _ in CASES] * 2 + ["Not so GOOD, but never so bad!", "good\x1cbad good\u2003bad", "KIND of good, kind words", "say just enough good"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    extra = spark.createDataFrame([("kind", 2.4), ("GOOD", 1.9), ("so", 0.5), (None, 1.0)], "word string, valence double")
+    words = lexicon.unionByName(extra)
+    carried = s.score_reviews(df, "t", words, ["id"])
+    monkeypatch.setattr(s, "LEXICON_WORDS", 5)
+    joined = s.score_reviews(df, "t", words, ["id"])
+    assert sorted(carried.collect()) == sorted(joined.collect()) and carried.count() == len(texts)
+
+
+def test_tokens():
+    assert s.tokens(" a bc  'd. ''de' de! (fg) h\u00e9! x\x1cy !a é. ?!?gh \U0001f600. \u2003ij,") == [
+        "bc", "'d.", "''de'", "de", "(fg)", "h\u00e9", "x\x1cy", "!a", "é.", "gh", "\U0001f600.", "ij",
+    ]
+
+
 def test_classes_at_their_limits(spark):
     df = spark.createDataFrame([(0.05,), (0.0499,), (-0.05,), (-0.0499,)], "c double")
     got = [x["k"] for x in df.select(s.sentiment_class(F.col("c")).alias("k")).collect()]

@@ -1,22 +1,26 @@
 """Review sentiment by lexicon and rules, overall and per product.
 
-Every token becomes a row that carries its three predecessors; tokens outside the lexicon are
-dropped straight after a map-side lookup, and the rest are summed back per review. All tokens
-of a review sit in one task, so the one shuffle moves a single short row per review.
+A review is scored inside its row: only its text travels to an Arrow function, in batches, and comes back as one number, so no token
+becomes a row and nothing is shuffled or sorted. Tokens are looked up in the lexicon, and only where one has polarity are the three
+before it looked at. (The same rules as array functions of the engine, which are interpreted once per token, took ten times as
+long.) A lexicon of more than LEXICON_WORDS words stays distributed: each review is joined to its own words of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import re
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.functions.lexicon import BOOSTERS_DOWN, WEAKER, words_table
+from tillwise.functions.lexicon import BOOSTERS_DOWN, WEAKER, boosters, negations, words_table
 from tillwise.functions.text import col, known, strip
-from tillwise.plans.lookups import is_small
+from tillwise.plans.lookups import join_spread
 from tillwise.plans.scratch import save
 
 # fixed values: published scoring rules (Hutto & Gilbert 2014)
@@ -36,92 +40,155 @@ NO_PRODUCT = "Unknown Product"
 
 TEXT_HASH = "_text_hash"
 
-TWO_WORD_WEAKER = [w for w in BOOSTERS_DOWN if " " in w]
+# words that every task carries, at most (a few MB); published lexicons have under 10,000
+LEXICON_WORDS = 50_000
+
+TWO_WORD_WEAKER = frozenset(w for w in BOOSTERS_DOWN if " " in w)
 
 MARK = r"""(?:!\?!\?|\?!\?!|!!!|\?\?\?|\?!\?|!\?!|!!|\?\?|[.!?,;:\-'"])"""
-ENDS = ".!?,;:-'\""
+ENDS = frozenset(".!?,;:-'\"")
 PLAIN = r"[^!-/:-@\[-`{-~]{2,}"
-ONE_MARK = f"^{MARK}({PLAIN})$|^({PLAIN}){MARK}$"
-
-
-def tokens(text: Column) -> Column:
-    """Pieces of two characters or more, one leading or trailing punctuation mark taken off."""
-    pieces = F.filter(F.split(text, r"(?U)\s+"), lambda piece: F.length(piece) > 1)
+ONE_MARK = re.compile(f"^{MARK}({PLAIN})$|^({PLAIN}){MARK}$")
+# Unicode white space; str.split() takes four control characters for such as well
+SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+CONTROL = re.compile(r"[\x1c-\x1f]")
 
-    def bare(piece: Column) -> Column:
-        # most pieces have no mark at either end, and the pattern costs far more than this look
-        ends = F.instr(F.lit(ENDS), F.left(piece, F.lit(1))) + F.instr(F.lit(ENDS), F.right(piece, F.lit(1))) > 0
-        return F.when(ends, F.regexp_replace(piece, ONE_MARK, "$1$2")).otherwise(piece)
+# what a lexicon says of a word: valence and boost, missing for most, and whether it negates
+Word = tuple[float | None, float | None, bool]
+UNKNOWN: Word = (None, None, False)
 
-    return F.transform(pieces, bare)
 
+def _bare(piece: str) -> str:
+    if piece[-1] in ENDS and len(piece) > 2 and piece[:-1].isalnum():
+        return piece[:-1]
+    return ONE_MARK.sub(r"\1\2", piece) if piece[0] in ENDS or piece[-1] in ENDS else piece
 
-def _capital(token: Column) -> Column:
-    return (token == F.upper(token)) & (token != F.lower(token))
-
-
-def _emphasis(text: Column) -> Column:
-    marks = F.least(F.regexp_count(text, F.lit("!")), F.lit(MAX_EXCLAMATIONS)) * EXCLAMATION
-    asked = F.regexp_count(text, F.lit(r"\?"))
-    return marks + F.when(asked < 2, 0.0).when(asked <= 3, asked * QUESTION).otherwise(MANY_QUESTIONS)
 
+def tokens(text: str) -> list[str]:
+    """Pieces of two characters or more, one leading or trailing punctuation mark taken off."""
+    pieces = SPACE.split(text) if CONTROL.search(text) else text.split()
+    return [p if p.isalnum() else _bare(p) for p in pieces if len(p) > 1]
 
-def _token_rows(reviews: DataFrame, text: Column) -> DataFrame:
-    """One row per token of ``reviews`` (_rid, _row) with its predecessors, and one closing row per review.
 
-    Only the closing row, which has no token, holds _row, so nothing of a review is repeated per token.
-    """
-    blank = F.lit("")
-    split = reviews.select("_rid", "_row", text.alias("_text"), tokens(text).alias("_tk"))
-    marked = split.select(
-        "_rid", "_row",
-        F.coalesce(_emphasis(F.col("_text")), F.lit(0.0)).alias("_emphasis"),
-        F.coalesce(F.size("_tk"), F.lit(0)).alias("_n"),
-        F.coalesce(F.array_position(F.transform("_tk", F.lower), "but"), F.lit(0)).alias("_but"),
-        (F.exists("_tk", _capital) & F.exists("_tk", lambda t: ~_capital(t))).alias("_mixed"),
-        F.coalesce("_tk", F.array().cast("array<string>")).alias("_tk"),
-    )
-    nothing = F.lit(None).cast(reviews.schema["_row"].dataType)
-    shifted = F.arrays_zip(
-        F.col("_tk").alias("t0"),
-        F.concat(F.array(blank), "_tk").alias("t1"),
-        F.concat(F.array(blank, blank), "_tk").alias("t2"),
-        F.concat(F.array(blank, blank, blank), "_tk").alias("t3"),
-        F.slice("_tk", 2, F.greatest("_n", F.lit(1))).alias("next"),
-        F.concat(F.array_repeat(nothing, F.col("_n")), F.array("_row")).alias("row"),
-    )
-    kept = ["_rid", "_emphasis", "_n", "_but", "_mixed"]
-    return (
-        marked.select(*kept, F.posexplode(shifted).alias("_pos", "_t"))
-        .where(F.col("_pos") <= F.col("_n"))
-        .select(*kept, "_pos", "_t.t0", "_t.t1", "_t.t2", "_t.t3", "_t.next", F.col("_t.row").alias("_row"))
-    )
+def _capital(token: str) -> bool:
+    return token == token.upper() and token != token.lower()
 
 
-def _step(place: int) -> list[tuple[str, Column]]:
-    """Column updates for the predecessor ``place`` tokens back: strengthening, then negation."""
-    token, valence = F.col(f"t{place}"), F.col("v")
-    counts = (token != "") & F.col(f"valence{place}").isNull()
-    strength = F.when(valence < 0, -F.col(f"boost{place}")).otherwise(F.col(f"boost{place}"))
-    loud = F.when(
-        _capital(token) & F.col("_mixed"), F.when(valence > 0, CAPITALS).otherwise(-CAPITALS)
-    ).otherwise(0.0)
-    boosted = valence + F.when(counts, F.coalesce((strength + loud) * DECAY[place], F.lit(0.0))).otherwise(0.0)
-
-    negates = F.coalesce(F.col(f"negates{place}"), F.lit(False)) | F.contains(F.lower(token), F.lit("n't"))
-    factor = F.when(counts & negates, NEGATED).otherwise(1.0)
-    emphatic = F.col("t1").isin("so", "this")
-    if place == 2:
-        factor = F.when(counts & (token == "never") & emphatic, 1.5).otherwise(factor)
-    updates = [("v", boosted), ("v", F.col("v") * factor)]
-    if place == 3:
-        emphatic = emphatic | F.col("t2").isin("so", "this")
-        factor = F.when(counts & (token == "never") & emphatic, 1.25).otherwise(factor)
-        softened = F.lower(F.concat_ws(" ", "t3", "t2")).isin(TWO_WORD_WEAKER) | F.lower(
-            F.concat_ws(" ", "t2", "t1")
-        ).isin(TWO_WORD_WEAKER)
-        updates = [("v", boosted), ("v", F.col("v") * factor + F.when(counts & softened, WEAKER).otherwise(0.0))]
-    return updates
+@dataclass
+class Lexicon:
+    """What is known of words, and which of them have a polarity: a booster never has one of its own."""
+
+    words: Mapping[str, Word]
+
+    def __post_init__(self):
+        self.polar = frozenset(w for w, (valence, boost, _) in self.words.items() if valence is not None and boost is None)
+
+
+def polarity(text: str | None, lexicon: Lexicon) -> float:
+    """Sum of the polarities of a text's tokens, each after the three tokens before it, with the weight of its ! and ?."""
+    found, words = tokens(text or ""), lexicon.words
+    low = [t.lower() for t in found]
+    hits = [i for i, w in enumerate(low) if w in lexicon.polar]
+    # "kind" has no polarity in "kind of"
+    hits = [i for i in hits if not (low[i] == "kind" and low[i + 1 : i + 2] == ["of"])]
+    if not hits:
+        return 0.0
+    near = {k for i in hits for k in range(max(0, i - 3), i + 1)}
+    # capitals count only in a text that is not all capitals
+    capital = {k for k in near if found[k] != low[k] and found[k] == found[k].upper()}
+    if capital and all(map(_capital, found)):
+        capital = set()
+    but = low.index("but") if "but" in low else None
+    total = 0.0
+    for i in hits:
+        v = words[low[i]][0]
+        if i in capital:
+            v += CAPITALS if v > 0 else -CAPITALS
+        for place in range(1, min(i, 3) + 1):
+            v = _after(v, found, low, i, place, words, capital)
+        if i and low[i - 1] == "least" and words.get("least", UNKNOWN)[0] is None and low[max(0, i - 2)] not in ("at", "very"):
+            v *= NEGATED
+        if but is not None and i != but:
+            v *= BEFORE_BUT if i < but else AFTER_BUT
+        total += v
+    # rounding far below the reported digits makes sums of equal values in another order equal
+    total = round(total, 9)
+    return total + math.copysign(emphasis(text), total) if total else 0.0
+
+
+def emphasis(text: str) -> float:
+    marks = min(text.count("!"), MAX_EXCLAMATIONS) * EXCLAMATION
+    asked = text.count("?")
+    return marks + (0.0 if asked < 2 else asked * QUESTION if asked <= 3 else MANY_QUESTIONS)
+
+
+def _after(v: float, found: list[str], low: list[str], i: int, place: int, words: Mapping[str, Word], capital: set[int]) -> float:
+    """Polarity ``v`` of token ``i`` after the one ``place`` before it: strengthening, then negation."""
+    at = i - place
+    valence, boost, negates = words.get(low[at], UNKNOWN)
+    # a token with polarity of its own neither strengthens nor negates
+    if valence is not None:
+        return v
+    if boost is not None:
+        loud = 0.0 if at not in capital else CAPITALS if v > 0 else -CAPITALS
+        v += ((-boost if v < 0 else boost) + loud) * DECAY[place]
+    stressed = place > 1 and found[at] == "never" and any(found[k] in ("so", "this") for k in range(at + 1 if place == 3 else i - 1, i))
+    if stressed:
+        v *= 1.5 if place == 2 else 1.25
+    elif negates or "n't" in low[at]:
+        v *= NEGATED
+    if place == 3 and (f"{low[at]} {low[at + 1]}" in TWO_WORD_WEAKER or f"{low[at + 1]} {low[at + 2]}" in TWO_WORD_WEAKER):
+        v += WEAKER
+    return v
+
+
+def _sums(reviews: DataFrame, words: dict[str, Word]) -> DataFrame:
+    """``reviews`` (_row, _body) with _sum, for words that every task can hold."""
+    lexicon = Lexicon(words)
+
+    @F.arrow_udf("double")
+    def summed(texts: pa.Array) -> pa.Array:
+        return pa.array([polarity(t.as_py(), lexicon) for t in texts], pa.float64())
+
+    return reviews.withColumn("_sum", summed("_body"))
+
+
+def _sums_by_own_words(reviews: DataFrame, words: DataFrame) -> DataFrame:
+    """As ``_sums``, for words of any number: each review gets those that it holds from a join on its different tokens."""
+
+    @F.arrow_udf("array<string>")
+    def different(texts: pa.Array) -> pa.Array:
+        words = [{w.lower() for w in tokens(t.as_py() or "")} for t in texts]
+        return pa.array([sorted(w) for w in words], pa.list_(pa.string()))
+
+    @F.arrow_udf("double")
+    def summed(texts: pa.Array, own: pa.Array) -> pa.Array:
+        return pa.array([
+            polarity(t.as_py(), Lexicon({w["word"]: (w["valence"], w["boost"], w["negates"]) for w in listed.as_py() or ()}))
+            for t, listed in zip(texts, own, strict=True)
+        ], pa.float64())
+
+    # numbers are frozen in the saved table, so a task that is run again gives the same ones
+    numbered = save(reviews.withColumn("_rid", F.monotonically_increasing_id()))
+    held = numbered.select("_rid", F.explode(different("_body")).alias("word"))
+    known = join_spread(held, words, "word", "_rid")
+    own = known.groupBy("_rid").agg(F.collect_list(F.struct("word", "valence", "boost", "negates")).alias("_own"))
+    return numbered.join(own, "_rid", "left").withColumn("_sum", summed("_body", "_own"))
+
+
+def _carried(lexicon: DataFrame, boost_words: DataFrame, negation_words: DataFrame) -> dict[str, Word] | None:
+    """The words of all three tables, a word that is listed twice with its mean; none if they are more than LEXICON_WORDS."""
+    tables = [lexicon.select("word", "valence"), boost_words.select("word", "boost"), negation_words.select("word", F.lit(True))]
+    values: list[dict[str, list]] = [{}, {}, {}]
+    for table, role in zip(tables, values, strict=True):
+        rows = table.select(F.lower("word"), table.columns[1]).limit(LEXICON_WORDS + 1).collect()
+        if len(rows) > LEXICON_WORDS:
+            return None
+        for word, value in rows:
+            if value is not None:
+                role.setdefault(word, []).append(value)
+    mean = lambda listed: sum(listed) / len(listed) if listed else None
+    return {w: (mean(values[0].get(w)), mean(values[1].get(w)), w in values[2]) for w in set().union(*values) if w is not None}
 
 
 def score_reviews(
@@ -135,58 +202,22 @@ def score_reviews(
 ) -> DataFrame:
     """(key, keep, compound_score, sentiment), one row per review.
 
-    Rows are told apart by a number of their own, so keys may repeat or be missing. ``lexicon`` has columns (word,
-    valence), ``boost_words`` (word, boost) and ``negation_words`` (word), the last two with published defaults.
+    Every row is scored for itself, so keys may repeat or be missing. ``lexicon`` has columns (word, valence),
+    ``boost_words`` (word, boost) and ``negation_words`` (word), the last two with published defaults.
     """
     names = list(dict.fromkeys([*key, *keep]))
-    words = save(words_table(lexicon, boost_words, negation_words))
-    small = is_small(words)
-
-    def lookup(place: int) -> DataFrame:
-        renamed = words.select(
-            F.col("word").alias(f"word{place}"),
-            F.col("valence").alias(f"valence{place}"),
-            F.col("boost").alias(f"boost{place}"),
-            F.col("negates").alias(f"negates{place}"),
-        )
-        return F.broadcast(renamed) if small else renamed
-
-    numbered = df.select(
-        F.monotonically_increasing_id().alias("_rid"), F.struct(*[col(n) for n in names]).alias("_row"),
-        col(text_col).cast("string").alias("_body"),
-    )
-    rows = _token_rows(numbered, F.col("_body"))
-    rows = rows.join(lookup(0), F.lower("t0") == F.col("word0"), "left")
-    # a booster never has polarity of its own, nor has "kind" in "kind of"
-    kind_of = (F.lower("t0") == "kind") & (F.lower(F.coalesce("next", F.lit(""))) == "of")
-    hit = F.col("valence0").isNotNull() & F.col("boost0").isNull() & ~kind_of
-    rows = rows.where(hit | (F.col("_pos") == F.col("_n")))
-    for place in (1, 2, 3):
-        rows = rows.join(lookup(place), F.lower(f"t{place}") == F.col(f"word{place}"), "left")
-
-    loud = F.when(
-        _capital(F.col("t0")) & F.col("_mixed"), F.when(F.col("valence0") > 0, CAPITALS).otherwise(-CAPITALS)
-    ).otherwise(0.0)
-    rows = rows.withColumn("v", F.col("valence0") + loud)
-    for place in (1, 2, 3):
-        for name, update in _step(place):
-            rows = rows.withColumn(name, update)
-    least = (F.lower("t1") == "least") & F.col("valence1").isNull() & ~F.lower("t2").isin("at", "very")
-    part = F.when(F.col("_but") == 0, 1.0).otherwise(
-        F.when(F.col("_pos") + 1 < F.col("_but"), BEFORE_BUT)
-        .when(F.col("_pos") + 1 > F.col("_but"), AFTER_BUT)
-        .otherwise(1.0)
-    )
-    rows = rows.withColumn("v", F.col("v") * F.when(least, NEGATED).otherwise(1.0) * part)
-
-    # rounding far below the reported digits makes the sum independent of its order
-    total = F.round(F.coalesce(F.sum("v"), F.lit(0.0)), 9)
-    whole = F.first("_row", ignorenulls=True).alias("_row")
-    summed = rows.groupBy("_rid").agg(total.alias("_sum"), F.max("_emphasis").alias("_emphasis"), whole)
-    amplified = F.col("_sum") + F.signum("_sum") * F.col("_emphasis")
-    scored = summed.withColumn("_sum", amplified)
+    spark = df.sparkSession
+    boost_words = boosters(spark) if boost_words is None else boost_words
+    negation_words = negations(spark) if negation_words is None else negation_words
+    reviews = df.select(F.struct(*[col(n) for n in names]).alias("_row"), col(text_col).cast("string").alias("_body"))
+    carried = _carried(lexicon, boost_words, negation_words)
+    if carried is None:
+        summed = _sums_by_own_words(reviews, save(words_table(lexicon, boost_words, negation_words)))
+    else:
+        summed = _sums(reviews, carried)
+
     compound = F.round(F.col("_sum") / F.sqrt(F.col("_sum") * F.col("_sum") + NORMALISER), 4)
-    scored = scored.select(*[F.col("_row")[n].alias(n) for n in names], compound.alias("compound_score"))
+    scored = summed.select(*[F.col("_row")[n].alias(n) for n in names], compound.alias("compound_score"))
     return scored.withColumn("sentiment", sentiment_class(F.col("compound_score")))
 
 
