@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import numpy as np
@@ -5,7 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tillwise.plans import lookups, quantiles, space
+from tillwise.operators import history, outliers
+from tillwise.plans import lookups, quantiles, scratch, space
 from tillwise.plans.ordering import fill_in_order, with_global_rank
 from tillwise.plans.quantiles import exact_quantiles
 
@@ -116,3 +118,47 @@ def test_boxes_route_every_ball_to_all_its_leaves():
     visited = set(zip(rows.tolist(), leaves.tolist()))
     close = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2)) <= 0.4
     assert all((i, leaf[j]) in visited for i, j in zip(*np.nonzero(close)))
+
+
+def tables(spark):
+    folder = pathlib.Path(scratch.shared_folder(spark))
+    return {p.name for p in folder.glob("tillwise-*")}
+
+
+def test_temporary_tables_go_and_the_one_handed_over_stays(spark):
+    before = tables(spark)
+    with scratch.temporary() as outer:
+        with scratch.temporary() as own:
+            first = scratch.save(spark.range(10))
+            second = scratch.save(first.where("id > 4"))
+            result = own.hand_over(second.join(first, "id"))
+            assert len(tables(spark) - before) == 3
+        assert len(tables(spark) - before) == 1 and len(outer.tables) == 1 and outer.is_read_by(result.where("id > 5"))
+        assert not outer.is_read_by(spark.range(3))
+        assert result.count() == 5
+    assert tables(spark) == before
+    with pytest.raises(ZeroDivisionError), scratch.temporary():
+        scratch.save(spark.range(3))
+        raise ZeroDivisionError
+    assert tables(spark) == before
+
+
+def test_operators_of_many_passes_leave_one_table(spark):
+    points = spark.createDataFrame([(i, float(i % 7), float(i * i % 11)) for i in range(200)], "id int, x double, y double")
+    before = tables(spark)
+    scored = outliers.outlier_scores(points, ["x", "y"])
+    assert len(tables(spark) - before) == 1 and scored.agg(F.sum("copies")).first()[0] == 200
+    with scratch.temporary():
+        again = outliers.outlier_scores(points, ["x", "y"])
+        assert sorted(again.collect()) == sorted(scored.collect())
+    assert len(tables(spark) - before) == 1
+
+
+def test_history_drops_its_tables_when_closed(spark):
+    before = tables(spark)
+    df = spark.createDataFrame([(i, float(i % 5)) for i in range(20)], "id int, v double")
+    with history.EditHistory(df) as edits:
+        for _ in range(history.LINEAGE_LIMIT + 1):
+            edits.apply(lambda t: t.where("id >= 0"))
+        assert len(tables(spark) - before) == 1 and edits.current.count() == 20
+    assert tables(spark) == before and edits.current is df

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.text import known
 from tillwise.operators.popularity import item_text
 from tillwise.plans.ordering import shuffle_width
-from tillwise.plans.scratch import save
+from tillwise.plans.scratch import save, temporary
 
 # fixed values
 MIN_SUPPORT = 0.01
@@ -84,15 +84,16 @@ def _coded_itemsets(baskets: Baskets) -> DataFrame:
 def _mine(baskets: Baskets) -> DataFrame:
     if not baskets.names:
         return baskets.rows.sparkSession.createDataFrame([], "codes array<int>, freq long")
-    rows = save(baskets.rows)
-    filled = rows.count()
-    # the miner rounds its threshold up from a share of the rows it sees
-    share = (baskets.least - 0.5) / filled
-    # few items to divide the work by, so more tasks than cores gain nothing
-    parts = min(shuffle_width(rows), rows.sparkSession.sparkContext.defaultParallelism)
-    miner = FPGrowth(itemsCol="items", minSupport=min(1.0, share), numPartitions=parts)
-    found = miner.fit(rows).freqItemsets
-    return save(found.select(F.array_sort("items").alias("codes"), F.col("freq").cast("long")))
+    with temporary() as own:
+        rows = save(baskets.rows)
+        filled = rows.count()
+        # the miner rounds its threshold up from a share of the rows it sees
+        share = (baskets.least - 0.5) / filled
+        # few items to divide the work by, so more tasks than cores gain nothing
+        parts = min(shuffle_width(rows), rows.sparkSession.sparkContext.defaultParallelism)
+        miner = FPGrowth(itemsCol="items", minSupport=min(1.0, share), numPartitions=parts)
+        found = miner.fit(rows).freqItemsets
+        return own.hand_over(found.select(F.array_sort("items").alias("codes"), F.col("freq").cast("long")))
 
 
 def _named(codes, names: list[str]):

@@ -21,12 +21,14 @@ class EditHistory:
     Saving changes no value: the version that is kept is a typed table, the CSV is for others.
 
     Every LINEAGE_LIMIT edits the version is written to the shared folder, so plans stay short
-    and lost executors do not replay the whole history.
+    and lost executors do not replay the whole history. ``close``, or the end of a ``with`` block, drops what was written, the
+    tables of the operators included; frames of the history are not to be used after it.
     """
 
     base: DataFrame
     versions: list[DataFrame] = field(default_factory=list)
     since_cut: int = 0
+    tables: scratch.Scope = field(default_factory=scratch.Scope)
 
     def __post_init__(self) -> None:
         self.versions = [self.base]
@@ -40,10 +42,11 @@ class EditHistory:
         return len(self.versions) - 1
 
     def apply(self, operator: Callable[..., DataFrame], *args: object, **options: object) -> DataFrame:
-        changed = operator(self.current, *args, **options)
-        self.since_cut += 1
-        if self.since_cut >= LINEAGE_LIMIT:
-            changed, self.since_cut = scratch.save(changed), 0
+        with self.tables:
+            changed = operator(self.current, *args, **options)
+            self.since_cut += 1
+            if self.since_cut >= LINEAGE_LIMIT:
+                changed, self.since_cut = scratch.save(changed), 0
         self.versions.append(changed)
         return changed
 
@@ -54,9 +57,20 @@ class EditHistory:
         return self.current
 
     def save(self, path: str) -> DataFrame:
-        kept = scratch.save(self.current)
+        with self.tables:
+            kept = scratch.save(self.current)
         write_csv(kept, path)
         # column metadata (such as a category mark) is not a part of the file
         self.versions = [kept.select(*[col(f.name).alias(f.name, metadata=f.metadata) for f in self.current.schema])]
         self.since_cut = 0
         return self.current
+
+    def close(self) -> None:
+        self.versions = [self.base]
+        self.tables.drop()
+
+    def __enter__(self) -> EditHistory:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
