@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.text import col
 from tillwise.llm.common import in_small_batches
-from tillwise.plans.scratch import save
+from tillwise.plans.scratch import save, temporary
 
 ROWS, BANDS = 4, 32
 SAMPLES = ROWS * 64
@@ -252,7 +252,12 @@ def near_duplicates(
     they get one component whatever their texts, and all of them are kept if one is. A missing doc_id makes no node:
     component_id is NULL and the row is kept. Empty tables give empty results; other columns are not read.
     """
-    docs = in_small_batches(docs)
+    # a row of four numbers per document is all that stays of the tables in between
+    with temporary() as own:
+        return own.hand_over(_grouped(in_small_batches(docs), doc_id, text, width, similar))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, similar: int) -> DataFrame:
     prints = save(fingerprints(docs, doc_id, text, width))
     known = prints.where(F.col("id").isNotNull() & F.col("key").isNotNull())
     payload = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
