@@ -254,9 +254,9 @@ def test_label_model_keeps_blocks_apart():
     model = toxicity.LabelModel.fit(votes.T @ votes, n, 0.1, votes[:2000], (kind[:2000] > 0).astype(float))
     assert len(set(model.block[:3])) == 1 and len(set(model.block[3:6])) == 1 and model.block[0] != model.block[3]
     assert np.allclose(model.toxic[:6], p1, atol=0.12) and np.allclose(model.clean[:6], p0, atol=0.01)
-    # 0.79 is what the true numbers themselves would find of the second kind, whose lone voters do not suffice
+    # the true numbers themselves would find 0.79 of the second kind, whose lone voters do not suffice, and 0.012 of the clean
     found = model.posterior(votes) > 0.5
-    assert found[kind == 1].mean() > 0.8 and found[kind == 2].mean() > 0.75 and found[kind == 0].mean() < 0.01
+    assert found[kind == 1].mean() > 0.8 and found[kind == 2].mean() > 0.75 and found[kind == 0].mean() < 0.015
 
 
 def test_stems_stand_for_their_words(spark):
