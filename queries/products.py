@@ -80,32 +80,34 @@ def _weights_by_rows(spark, folder):
 
 
 def _similar(spark, folder):
+    """The preview: the first users only."""
     weights = save(_weights(spark, folder))
     near = n.similar_users(weights, n.first_users(weights))
     return near.select("user", "neighbour", F.round("similarity", 9).alias("similarity"), "place")
 
 
+def _similar_all(spark, folder):
+    near = n.similar_users(save(_weights(spark, folder)))
+    return near.select("user", "neighbour", F.round("similarity", 9).alias("similarity"), "place")
+
+
 def _candidates(spark, folder):
     weights = save(_weights(spark, folder))
-    return n.candidate_items(weights, save(n.similar_users(weights, n.first_users(weights))))
+    return n.candidate_items(weights, n.similar_users(weights))
 
 
 def _served(spark, folder):
-    targets = n.first_users(_weights(spark, folder))
-    return n.recommend_to_users(_sales(spark, folder), "o_custkey", "p_name", "l_quantity", targets)
+    return n.recommend_to_users(_sales(spark, folder), "o_custkey", "p_name", "l_quantity")
 
 
 def _served_many(spark, folder):
-    """Customers of twenty nations, one of them with nothing but weights of zero."""
+    """All customers, one of them with nothing but weights of zero."""
     sales = _sales(spark, folder).withColumn("qty", F.expr("CASE WHEN o_custkey = 4 THEN 0 ELSE l_quantity END"))
-    targets = table(spark, folder, "customer").where("c_nationkey < 20").select("c_custkey")
-    return n.recommend_to_users(sales, "o_custkey", "p_name", "qty", targets)
+    return n.recommend_to_users(sales, "o_custkey", "p_name", "qty")
 
 
 def _served_cold(spark, folder):
-    events = table(spark, folder, "events")
-    targets = n.first_users(n.user_item_weights(events, "user_id", "event_type", "value"))
-    return n.recommend_to_users(events, "user_id", "event_type", "value", targets)
+    return n.recommend_to_users(table(spark, folder, "events"), "user_id", "event_type", "value")
 
 
 def _choice(spark, folder):
@@ -170,7 +172,7 @@ def _found_sql(item):
     )
 
 
-def _similar_sql(source, user, item, qty, targets="true ORDER BY u LIMIT 10"):
+def _similar_sql(source, user, item, qty, targets="true"):
     return f"""{source},
     w AS (SELECT {user} AS u, {item} AS i, sum({qty}) AS w FROM sales GROUP BY 1, 2),
     norm AS (SELECT u, sqrt(sum(w * w)) AS n FROM w GROUP BY u),
@@ -191,12 +193,10 @@ def _similar_sql(source, user, item, qty, targets="true ORDER BY u LIMIT 10"):
 
 
 SIMILAR = _similar_sql(SALES, "o_custkey", "p_name", "l_quantity")
+SIMILAR_FIRST = _similar_sql(SALES, "o_custkey", "p_name", "l_quantity", "true ORDER BY u LIMIT 10")
 SIMILAR_EVENTS = _similar_sql("sales AS (SELECT * FROM events)", "user_id", "event_type", "value")
 
-SIMILAR_MANY = _similar_sql(
-    SALES, "o_custkey", "p_name", "CASE WHEN o_custkey = 4 THEN 0 ELSE l_quantity END",
-    "u IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)",
-)
+SIMILAR_MANY = _similar_sql(SALES, "o_custkey", "p_name", "CASE WHEN o_custkey = 4 THEN 0 ELSE l_quantity END")
 
 QUERIES = {
     "popular_by_quantity": (
@@ -238,6 +238,10 @@ QUERIES = {
     ),
     "similar_users": (
         _similar,
+        f'WITH {SIMILAR_FIRST} SELECT t AS "user", u AS neighbour, round(s, 9) AS similarity, place::INT AS place FROM near',
+    ),
+    "similar_users_all": (
+        _similar_all,
         f'WITH {SIMILAR} SELECT t AS "user", u AS neighbour, round(s, 9) AS similarity, place::INT AS place FROM near',
     ),
     "candidate_items": (

@@ -1,9 +1,11 @@
 import itertools
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
 from tillwise.operators import baskets as b
 from tillwise.operators import neighbours as n
@@ -158,3 +160,44 @@ def test_method_follows_the_columns(lines, ratings):
     assert recommend(lines, "item").algorithm_used == "Popularity-Based Engine (Top Sellers)"
     with pytest.raises(ValueError, match="item column"):
         recommend(lines, "nope")
+
+
+@pytest.mark.parametrize("block", [4, 16, 1024])
+def test_blocks_lose_no_neighbour(spark, monkeypatch, block):
+    monkeypatch.setattr(n, "BLOCK_USERS", block)
+    monkeypatch.setattr(n, "VISITORS", 7)
+    monkeypatch.setattr(n, "CELLS", 64)
+    rng = random.Random(block)
+    rows = []
+    for u in range(100):
+        held = set(rng.choices(range(50), [1 / (j + 1) for j in range(50)], k=rng.randrange(1, 9)))
+        rows += [(u, f"i{i}", float(rng.choice([1, 1, 2, 3, 5, 0, -1]))) for i in held]
+    # a crowd of equal users, one that is like nobody, one without any weight
+    rows += [(200 + k, "i0", 2.0) for k in range(12)] + [(300, "lone", 1.0), (301, "zero", 0.0)]
+    held = {}
+    for u, i, w in rows:
+        held.setdefault(u, {})[i] = w
+    norm = {u: sum(w * w for w in h.values()) ** 0.5 for u, h in held.items()}
+    want = set()
+    for t in held:
+        by = []
+        for u in held.keys() - {t}:
+            scale = norm[t] * norm[u]
+            by.append((-(sum(w * held[u].get(i, 0.0) for i, w in held[t].items()) / scale if scale else 0.0) + 0.0, u))
+        want |= {(t, u, round(-x, 9) + 0.0, k) for k, (x, u) in enumerate(sorted(by)[:5], 1)}
+    df = spark.createDataFrame(rows, "user long, item string, weight double")
+    got = {(r["user"], r["neighbour"], round(r["similarity"], 9) + 0.0, r["place"]) for r in n.similar_users(df).collect()}
+    assert got == want
+
+
+def test_popular_items_do_not_lead_to_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK_USERS", 32)
+    # sixteen circles of users with items of their own, and one item that everybody buys a little of
+    rows = [(u, f"c{u % 16}_{(u // 16 + k) % 5}", 5.0) for u in range(1024) for k in range(3)] + [(u, "all", 1.0) for u in range(1024)]
+    weights = spark.createDataFrame(rows, "user long, item string, weight double")
+    norms = weights.groupBy("user").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    targets = weights.select(F.col("user").alias("target")).distinct()
+    found, visits = n.positive_neighbours(weights, norms, targets, 5)
+    assert found.count() == 1024 * 5 and found.agg(F.min("similarity")).first()[0] > 0.9
+    # of 32 blocks a user visits a few besides its own
+    assert visits.count() < 4 * 1024
