@@ -39,8 +39,8 @@ LEAST_SUPPORT, LEAST_ODDS, LEAST_GAIN = 3, 2.5, 25.0
 MINED, CANDIDATES = 500, 20_000
 # lengths of stems; a name that ends in * asks for one word of the stem, ** for two different ones
 STEMS = (4, 5, 6)
-# labelled rows that the counted accuracies weigh as much as
-ANCHOR = 20.0
+# labelled rows that the counted accuracies weigh as much as; documents that a labelled row counts as for the classifier
+ANCHOR, KNOWN = 20.0, 5.0
 # how much likelier a voter must fire on toxic texts to count for the classifier's joint input
 TRUSTED = 10.0
 # excess correlation from which two voters are held to be dependent
@@ -242,7 +242,15 @@ class LabelModel:
             factor = np.where(factor > 0, factor, np.maximum(gap, 0) * np.sqrt(share * (1 - share)))
         # what the class does not explain is a correlation of the two voters themselves
         rest = np.where(mask, (cov - np.outer(factor, factor)) / np.outer(spread, spread), 0)
-        i, j = np.nonzero(np.triu(rest >= CORRELATED, 1))
+        tied = rest >= CORRELATED
+        for b in np.flatnonzero(rows >= ANCHOR):
+            # labelled rows of the class tell whether two voters agree beyond it
+            own = np.flatnonzero(block == b)
+            fire = votes[kind == b][:, own]
+            apart = fire - fire.mean(axis=0)
+            size = np.sqrt(np.maximum((apart * apart).sum(axis=0), 1e-12))
+            tied[np.ix_(own, own)] &= apart.T @ apart / np.outer(size, size) >= CORRELATED
+        i, j = np.nonzero(np.triu(tied, 1))
         pairs = list(zip(i.tolist(), j.tolist(), strict=True))
         mask[i, j] = mask[j, i] = False
         for _ in range(200):
@@ -360,8 +368,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     model = LabelModel.fit(both, n, prior, marked, np.array([r["toxic"] for r in seen], float))
     votes, copies = _votes(docs, text, voters, FITTED)
     weights, bias = np.zeros(v + 1), math.log(prior / (1 - prior))
-    if len(votes):
-        weights, bias = train_linear(inputs(votes, model), model.posterior(votes), count=copies)
+    if len(votes) or len(marked):
+        # where a label is known it is the posterior
+        truth = np.array([r["toxic"] > 0 for r in seen], float)
+        every = inputs(np.vstack([votes, marked]), model)
+        weights, bias = train_linear(
+            every, np.r_[model.posterior(votes), truth], count=np.r_[copies, np.full(len(marked), KNOWN)]
+        )
     return Model(voters, model, weights, bias)
 
 
