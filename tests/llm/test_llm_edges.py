@@ -65,6 +65,10 @@ def test_mixing(docs, none):
     assert all(r["taken"] <= 3 * r["size"] and len(r["shards"]) == r["copies"] for r in rows)
     assert all(r["taken"] == 0 for r in rows if not (r["text"] or "").strip())
     assert mixing.mix(none).count() == 0 and mixing.draw(none).count() == 0
+    clashing = docs.withColumns({n: F.lit("x") for n in ("copy", "shard", "shards", "place", "pos", "block", "_mix_key", "_mix_h", "_mix_row")})
+    drawn = mixing.draw(clashing).collect()
+    assert len(drawn) == sum(r["copies"] for r in rows) and all(isinstance(r["copy"], int) for r in drawn)
+    assert mixing.draw(docs.withColumnRenamed("source", "place"), source="place").count() == len(drawn)
 
 
 def test_near_duplicates(docs, none):

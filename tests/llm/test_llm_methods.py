@@ -110,11 +110,67 @@ def test_mix_meets_its_targets(spark):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def test_mix_is_blind_to_size(spark):
+    folder = str(DATA / "sf0.1")
+    source = {d: s for d, _, _, s, _ in read("documents", folder)}
+    by = collections.defaultdict(list)
+    rows = queries.op3_mix_sources(spark, folder).collect()
+    for r in rows:
+        by[source[r["doc_id"]]].append((r["size"], r["copies"], r["target"]))
+    drawn = expected = 0
+    for s, docs in by.items():
+        rounds = min(c for _, c, _ in docs)
+        last = [n for n, c, _ in docs if c > rounds and n]
+        if len(last) < len(docs):
+            mean = sum(n for n, _, _ in docs) / len(docs)
+            drawn, expected = drawn + sum(last), expected + len(last) * mean
+        assert sum(n * c for n, c, _ in docs) == pytest.approx(docs[0][2], rel=1e-3)
+    assert drawn == pytest.approx(expected, rel=0.05)
+    # shards are about equal in draws and hold sources side by side
+    shards = collections.defaultdict(set)
+    for r in rows:
+        for shard in r["shards"]:
+            shards[shard].add(source[r["doc_id"]])
+    assert len(shards) > 50 and all(len(sources) > 10 for sources in shards.values())
+    small = queries.op3_mix_sources(spark, str(DATA / "sf0.01")).collect()
+    assert len({shard for r in small for shard in r["shards"]}) > 10
+
+
+def test_sizes_that_meet_the_end_by_brute_force():
+    rng = random.Random(9)
+    for _ in range(200):
+        sizes, wanted = [rng.randint(1, 40) for _ in range(rng.randint(0, 9))], rng.randint(0, 150)
+        taken = mixing._closest(sizes, wanted)
+        best = max(s for k in range(2 ** len(sizes)) if (s := sum(n for i, n in enumerate(sizes) if k >> i & 1)) <= wanted)
+        assert sum(n for n, t in zip(sizes, taken, strict=True) if t) == best
+    assert mixing._closest([10**9, 5 * 10**8, 7], 5 * 10**8 + 10**6) == [False, True, True]
+
+
+def test_mix_cuts_a_large_end(spark, monkeypatch):
+    """More documents around the end of a source than one task takes, many of them alike."""
+    rng = random.Random(2)
+    texts = ["w " * rng.randint(1, 30) for _ in range(1500)] + ["x " * 7] * 1500
+    rows = [(None if i >= 1500 else i % 700, "ab"[i % 7 == 0], t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    monkeypatch.setattr(mixing, "LAST_ROWS", 40)
+    monkeypatch.setattr(mixing, "FILL_WORDS", 30)
+    monkeypatch.setattr(mixing, "FEWEST_BLOCKS", 2)
+    monkeypatch.setattr(mixing, "CUT", 8)
+    mixed = mixing.mix(docs).collect()
+    sums = collections.Counter()
+    for r in mixed:
+        sums[r["source"], r["target"]] += r["taken"]
+    assert len(mixed) == 3000 and all(abs(n - target) <= 8 for (_, target), n in sums.items())
+    again = mixing.mix(docs).collect()
+    assert sorted(str(r[:-1]) for r in again) == sorted(str(r[:-1]) for r in mixed)
+
+
 def test_tree_deals_exact_quotas(spark):
-    quotas = [(10, 300), (20, 7), (30, 1000)]
+    quotas = [(10, 300), (20, 7), (30, 1000), (40, 0)]
     rows = mixing.deal(spark.createDataFrame(quotas, "place long, draws long")).collect()
     shards = max(r["shard"] for r in rows) + 1
     per_shard = collections.Counter()
+    assert all(r["taken"] > 0 for r in rows)
     for place, draws in quotas:
         own = sorted((r["first"], r["taken"]) for r in rows if r["place"] == place)
         assert sum(t for _, t in own) == draws
