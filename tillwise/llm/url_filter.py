@@ -1,8 +1,10 @@
 """URL filter: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
-The rules label the URLs they fit. Trees are boosted on lexical features of a bounded sample of these, and judge the
-URLs that no rule fits. Features look at the URL's text only: length, depth, digits, entropy, parameters, and how often
-its host's suffix and labels occur and were blocked.
+URLs with a known label, given as a table or by the rules that fit them, are what trees are boosted on (a bounded sample);
+they judge the URLs that no rule fits. Features look at the URL's text only: length, depth, digits, entropy, parameters, and
+how often its host's suffix occurs and was blocked. A URL's own host never takes part in its suffix statistics: hosts fall
+into folds, and each fold sees the counts of the others, drawn towards the rate of all by a prior. So a suffix whose labels
+all agree is evidence that grows with its number of labels, not proof.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SAMPLE = 20_000
 TREES, DEPTH, SEED = 20, 4, 11
 # suffixes are unbounded, so their statistics are kept by hash bucket
 BUCKETS = 512
+# folds of hosts, and the weight of the rate of all URLs in a suffix's rate, in labels
+FOLDS, PRIOR = 5, 20.0
 FEATURES = (
     "length", "host_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "query_length", "secure",
     "suffix_block_rate", "suffix_share", "longest_label", "last_segment",
@@ -84,42 +88,88 @@ def lexical(urls: DataFrame, url: str) -> DataFrame:
     return urls.select("*", suffix.alias("_u_suffix"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in counted.items()])
 
 
+def _suffix_rates(facts: DataFrame) -> tuple[list[list[float]], list[float]]:
+    """Block rate by fold and suffix bucket, from the labels of the other folds, and share of URLs by bucket.
+
+    Reads BUCKETS x FOLDS rows, whatever the number of URLs.
+    """
+    n, labelled, blocked = [0] * BUCKETS, [[0.0] * BUCKETS for _ in range(FOLDS)], [[0.0] * BUCKETS for _ in range(FOLDS)]
+    counts = facts.groupBy("_u_suffix", "_u_fold").agg(
+        F.count(F.lit(1)).alias("n"), F.count("_u_label").alias("l"), F.coalesce(F.sum("_u_label"), F.lit(0.0)).alias("b")
+    )
+    for r in counts.collect():
+        n[r["_u_suffix"]] += r["n"]
+        labelled[r["_u_fold"]][r["_u_suffix"]] = r["l"]
+        blocked[r["_u_fold"]][r["_u_suffix"]] = r["b"]
+    every, bad, total = sum(map(sum, labelled)), sum(map(sum, blocked)), max(1, sum(n))
+    rates = []
+    for fold in range(FOLDS):
+        l, b = every - sum(labelled[fold]), bad - sum(blocked[fold])
+        mean = (b + 0.5) / (l + 1.0)
+        others = [(sum(x[i] for x in labelled) - labelled[fold][i], sum(x[i] for x in blocked) - blocked[fold][i]) for i in range(BUCKETS)]
+        rates.append([(bi + PRIOR * mean) / (li + PRIOR) for li, bi in others])
+    return rates, [x / total for x in n]
+
+
+def sampled(labelled: DataFrame, key: Column, most: int) -> DataFrame:
+    """At most ``most`` rows, those of lowest hash: a share by hash first, so that no task sorts more than about twice as many."""
+    rows = labelled.count()
+    space = 1 << 30
+    share = F.pmod(key, F.lit(space)) < int(min(1.0, 1.5 * most / max(rows, 1)) * space)
+    return labelled.where(share).orderBy(key, "_u_url").limit(most)
+
+
 def judge(
     pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES,
-    threshold: float = 0.5, sample: int = SAMPLE,
+    threshold: float = 0.5, sample: int = SAMPLE, labels: DataFrame | None = None, held_out: int | None = None,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, score (probability of block; NULL where a rule decides).
 
-    A missing URL, or one without ``://``, has empty host and path, fits no rule and is judged by the trees. Trees
-    are fitted on at most ``sample`` rule-labelled URLs, the first by hash of page_id and URL; with labels of one kind only,
-    that verdict goes to all others, and without any, allow. Rows pass one by one, so repeated rows and ties come out
-    alike; an empty table gives an empty result and other columns are not read.
+    Labels are those of ``labels`` (url, blocked: any URLs, of which those of ``pages`` count as found there; the most frequent
+    label of a URL, block on a tie) and, for other URLs, the rules'. A missing URL, or one without ``://``, has empty host
+    and path, fits no rule and is judged by the trees. Trees are fitted on at most ``sample`` labelled URLs, the first by hash
+    of page_id and URL; with labels of one kind only, that verdict goes to all others, and without any, allow. With
+    ``held_out`` the hosts of that fold (of FOLDS) lend no labels, columns label and fold are added and every row gets its
+    score: so the trees are measured on hosts they have not seen. Rows pass one by one, so repeated rows and ties come out alike;
+    an empty table gives an empty result and other columns are not read.
     """
     host, path = host_and_path(F.col("_u_url"))
     base = pages.select(col(page_id).alias("page_id"), col(url).cast("string").alias("_u_url"))
     base = base.select("*", host.alias("host"), path.alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    facts = save(lexical(base.select("*", rule.alias("rule"), says.alias("says")), "_u_url"))
-    blocked = (F.col("says") == "block").cast("double")
-    # a bounded table: one row per bucket
-    stats = facts.groupBy("_u_suffix").agg(F.count(F.lit(1)).alias("n"), F.count("says").alias("l"), F.sum(blocked).alias("b")).collect()
-    total = sum(r["n"] for r in stats) or 1
-    by = {r["_u_suffix"]: r for r in stats}
-    rate = F.array(*[F.lit(((by[i]["b"] or 0.0) + 0.5) / (by[i]["l"] + 1.0) if i in by else 0.5) for i in range(BUCKETS)])
-    share = F.array(*[F.lit(by[i]["n"] / total if i in by else 0.0) for i in range(BUCKETS)])
+    base = base.select("*", rule.alias("rule"), says.alias("says"), F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int").alias("_u_fold"))
+    by_rule = F.when(F.col("says").isNotNull(), (F.col("says") == "block").cast("double"))
+    if labels is None:
+        known = base.withColumn("_u_label", by_rule)
+    else:
+        given = labels.where("url IS NOT NULL AND blocked IS NOT NULL").groupBy(F.col("url").cast("string").alias("_u_of"))
+        given = given.agg((F.avg(F.col("blocked").cast("double")) >= 0.5).cast("double").alias("_u_given"))
+        known = base.join(given, F.col("_u_url") == F.col("_u_of"), "left").withColumn("_u_label", F.coalesce("_u_given", by_rule))
+        known = known.drop("_u_of", "_u_given")
+    result = ["page_id", "host", "path", "rule"]
+    if held_out is not None:
+        known = known.withColumn("label", F.col("_u_label")).withColumn("fold", F.col("_u_fold"))
+        known = known.withColumn("_u_label", F.when(F.col("_u_fold") != held_out, F.col("_u_label")))
+    facts = save(lexical(known, "_u_url"))
+    counted = {r["_u_label"]: r["n"] for r in facts.groupBy("_u_label").agg(F.count(F.lit(1)).alias("n")).collect() if r["_u_label"] is not None}
+    more = [] if held_out is None else ["label", "fold"]
+    if len(counted) < 2:
+        only = F.lit("block" if 1.0 in counted else "allow")
+        return facts.select(*result, F.coalesce("says", only).alias("verdict"), F.lit(None).cast("double").alias("score"), *more)
+    rates, shares = _suffix_rates(facts)
+    rate = F.array(*[F.lit(x) for fold in rates for x in fold])
     at = F.col("_u_suffix") + 1
-    full = facts.select("*", F.element_at(rate, at).alias("suffix_block_rate"), F.element_at(share, at).alias("suffix_share"))
+    full = facts.select(
+        "*", F.element_at(rate, F.col("_u_fold") * BUCKETS + at).alias("suffix_block_rate"),
+        F.element_at(F.array(*map(F.lit, shares)), at).alias("suffix_share"),
+    )
     full = VectorAssembler(inputCols=list(FEATURES), outputCol="_u_vector").transform(full)
-    result = ["page_id", "host", "path", "rule"]
-    labels = {r["says"]: r["n"] for r in facts.groupBy("says").agg(F.count(F.lit(1)).alias("n")).collect() if r["says"]}
-    if len(labels) < 2:
-        only = next(iter(labels), "allow")
-        return full.select(*result, F.coalesce("says", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    first = full.where("says IS NOT NULL").orderBy(F.xxhash64("page_id", "_u_url"), "_u_url").limit(sample)
-    fitted = save(first.select(blocked.alias("label"), "_u_vector").coalesce(1))
+    first = sampled(full.where("_u_label IS NOT NULL"), F.xxhash64("page_id", "_u_url"), sample)
+    fitted = save(first.select(F.col("_u_label").alias("label"), "_u_vector").coalesce(1))
     trees = GBTClassifier(featuresCol="_u_vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32)
     model = trees.fit(fitted.coalesce(2))
     model.setRawPredictionCol("_u_raw").setProbabilityCol("_u_p").setPredictionCol("_u_guess")
     score = vector_to_array("_u_p")[1]
     verdict = F.coalesce("says", F.when(score > threshold, "block").otherwise("allow"))
-    return model.transform(full).select(*result, verdict.alias("verdict"), F.when(F.col("rule").isNull(), score).alias("score"))
+    shown = score if held_out is not None else F.when(F.col("rule").isNull(), score)
+    return model.transform(full).select(*result, verdict.alias("verdict"), shown.alias("score"), *more)
