@@ -509,3 +509,48 @@ def test_classifier_sees_different_texts_beside_many_copies(spark):
     x, soft = np.array([[0.0], [1.0], [1.0]]), np.array([0.1, 0.9, 0.9])
     pooled, each = toxicity.train_linear(x[:2], soft[:2], count=np.array([1.0, 2.0])), toxicity.train_linear(x, soft)
     assert pooled[0] == pytest.approx(each[0]) and pooled[1] == pytest.approx(each[1])
+
+
+def test_licences_changed_cut_and_mixed(spark):
+    """Planted whole licences: found after changes that leave the key phrases; the same words in other order are not."""
+    rng = random.Random(21)
+    prose = lambda n: [rng.choice(["the", "of", "and", "to", *(f"w{k}" for k in range(400))]) for _ in range(n)]
+
+    def phrases(words, must):
+        """Positions of key phrases, which changes leave alone."""
+        marks = set()
+        for p in (m.split() for m in must):
+            at = next(k for k in range(len(words)) if words[k : k + len(p)] == p)
+            marks |= set(range(at, at + len(p)))
+        return marks
+
+    planted, broken = [], []
+    for label, wording, must in licenses.TEXTS:
+        words = wording.split()
+        marks = phrases(words, must)
+        for _ in range(4):
+            changed = [w if i in marks or rng.random() > 0.15 else f"y{rng.randrange(99)}" for i, w in enumerate(words)]
+            short = [w for i, w in enumerate(words) if i in marks or rng.random() > 0.15]
+            lo, hi = min(marks), max(marks) + 1
+            start = rng.randint(max(0, hi - len(words) * 4 // 5 - 1), min(lo, len(words) // 5))
+            piece = words[start : max(hi, start + len(words) * 4 // 5)]
+            mixed = [x for k in range(0, len(words), 12) for x in words[k : k + 12] + ([] if marks & {k + 11, k + 12} == {k + 11, k + 12} else prose(4))]
+            for kind, text in (("whole", words), ("changed", changed), ("short", short), ("piece", piece), ("mixed", mixed)):
+                planted.append((label, kind, " ".join(prose(200) + text + prose(200))))
+            shuffled = words[:]
+            rng.shuffle(shuffled)
+            broken.append(" ".join(prose(200) + shuffled + prose(200)))
+        broken.append(" ".join(prose(100) + must[0].split() + prose(100)))
+    rows = [(i, t) for i, t in enumerate([*(t for *_, t in planted), *broken, *(" ".join(prose(300)) for _ in range(200))])]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = collections.defaultdict(list)
+    for i, (label, kind, _) in enumerate(planted):
+        hits[kind].append(label in out[i]["labels"].split(","))
+    assert all(hits["whole"])
+    recall = {kind: sum(h) / len(h) for kind, h in hits.items()}
+    assert min(recall.values()) >= 0.9, recall
+    # a phrase alone, or the words in another order, adds no label to those of the base phrases
+    for i in range(len(planted), len(rows)):
+        assert out[i]["labels"] == out[i]["base_labels"], rows[i]
+    scores = {out[i]["score"] for i, (_, kind, _) in enumerate(planted) if kind == "changed"}
+    assert len(scores) > 20 and all(licenses.SHARE <= s <= 1 for s in scores)
