@@ -47,6 +47,20 @@ def test_bad_host_goes_with_its_clean_documents(spark):
     assert all(out[100 + i]["kept"] for i in range(100)) and out[300]["kept"]
 
 
+def test_bad_hosts_planted_among_clean_ones(spark):
+    """Hosts with 30, 60 and 90 % junk, of 100 documents and of 12, among 300 hosts with 3 %."""
+    clean = " ".join(f"word{i}" for i in range(30))
+    planted = {f"bad{share}_{n}_{k}": (n, round(n * share / 100)) for share in (30, 60, 90) for n in (100, 12) for k in range(4)}
+    hosts = {**planted, **{f"clean{k}": (34, 1) for k in range(300)}, **{f"tiny{k}": (1, k % 20 == 0) for k in range(100)}}
+    rows = [(h, "junk" if i < bad else f"{clean} {i}") for h, (n, bad) in hosts.items() for i in range(n)]
+    out = quality.judge(spark.createDataFrame(rows, "source string, text string")).select("source", "host_rejected").distinct().collect()
+    rejected = {r["source"] for r in out if r["host_rejected"]}
+    caught = {(share, n): sum(h in rejected for h in planted if h.startswith(f"bad{share}_{n}_")) / 4 for share in (30, 60, 90) for n in (100, 12)}
+    # seven bad documents of twelve do not prove a majority; a third of bad documents goes one by one
+    assert caught == {(30, 100): 0, (30, 12): 0, (60, 100): 1, (60, 12): 0, (90, 100): 1, (90, 12): 1}
+    assert rejected <= set(planted) and len(out) == len(hosts)
+
+
 def test_lm_beats_unigrams_and_its_counts_are_exact(spark):
     rows = queries.op2_lm_score(spark, FOLDER).collect()
     docs = {d: t for d, t, *_ in read("documents")}

@@ -1,8 +1,8 @@
 """Quality rules judged per document and per host.
 
 Every document is measured by a few rules. Failures are added up per host, the hosts' failure rates are shrunk
-towards the corpus with a beta prior fitted to all hosts, and a host whose shrunk rate of some rule is over its
-limit is rejected with all its documents. Built-in functions only.
+towards the corpus with a beta prior fitted to all hosts, and a host is rejected with all its documents where its posterior
+says, with confidence, that most of its documents fail some rule and far more of them than elsewhere. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from tillwise.plans.scratch import save
 SYMBOLS = r"[#*$%&|<>]"
 SPACE = r"[\x20\x09-\x0D]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-# share of a host's documents that may fail a rule before the host goes
-LIMITS = {"base": 0.5, "symbols": 0.9, "lines": 0.9, "length": 0.9}
+# a host goes where its rate is over half and over the rate of FACTOR times the corpus odds, CONFIDENCE deviations of the
+# posterior below its mean (95 % on one side)
+MAJORITY, FACTOR, CONFIDENCE = 0.5, 4.0, 1.645
 # bounds of the prior's weight, in documents
 WEAKEST, STRONGEST = 1.0, 1000.0
 
@@ -77,15 +78,18 @@ def failures() -> dict[str, Column]:
     }
 
 
-def host_verdicts(measured: DataFrame, host: str, limits: dict[str, float] = LIMITS) -> DataFrame:
+def host_verdicts(
+    measured: DataFrame, host: str, majority: float = MAJORITY, factor: float = FACTOR, confidence: float = CONFIDENCE
+) -> DataFrame:
     """Per host: host, n_docs, host_rate (shrunk base failure rate, 6 digits), host_rejected.
 
     The prior Beta(m s, (1 - m) s) of a rule has the corpus rate m; s follows from the spread of the hosts'
-    rates beyond what their sizes explain, kept between WEAKEST and STRONGEST. Documents without a host
-    belong to none and take no part.
+    rates, each by its documents, beyond what their sizes explain, kept between WEAKEST and STRONGEST. Of the posterior, its mean less
+    ``confidence`` standard deviations must exceed ``majority`` and the rate whose odds are ``factor`` times those of m, so a
+    few failures of a small host do not condemn it. Documents without a host belong to none and take no part.
     """
-    rules = list(limits)
     failed = failures()
+    rules = list(failed)
     hosts = (
         measured.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host"))
         .agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(failed[r].cast("long")).alias(r) for r in rules])
@@ -96,16 +100,21 @@ def host_verdicts(measured: DataFrame, host: str, limits: dict[str, float] = LIM
         return hosts.select("host", "n_docs", F.lit(0.0).alias("host_rate"), F.lit(False).alias("host_rejected"))
     mean = {r: totals[r] / totals["n"] for r in rules}
     gap = lambda r: F.pow(F.col(r) / F.col("n_docs") - mean[r], 2) - mean[r] * (1 - mean[r]) / F.col("n_docs")
-    spread = hosts.agg(*[F.avg(gap(r)).alias(r) for r in rules]).first()
+    spread = hosts.agg(*[(F.sum(F.col("n_docs") * gap(r)) / totals["n"]).alias(r) for r in rules]).first()
 
-    def shrunk(rule: str) -> Column:
+    def prior_weight(rule: str) -> float:
         m, v = mean[rule], spread[rule]
-        weight = min(max(m * (1 - m) / v - 1, WEAKEST), STRONGEST) if v > 0 else STRONGEST
-        return (F.col(rule) + m * weight) / (F.col("n_docs") + weight)
+        return min(max(m * (1 - m) / v - 1, WEAKEST), STRONGEST) if v > 0 else STRONGEST
+
+    def shrunk(rule: str) -> Column:
+        weight = prior_weight(rule)
+        return (F.col(rule) + mean[rule] * weight) / (F.col("n_docs") + weight)
 
     rejected = F.lit(False)
     for rule in rules:
-        rejected = rejected | (shrunk(rule) > limits[rule])
+        rate, m = shrunk(rule), mean[rule]
+        deviation = F.sqrt(rate * (1 - rate) / (F.col("n_docs") + prior_weight(rule) + 1))
+        rejected = rejected | (rate - confidence * deviation > max(majority, factor * m / (1 - m + factor * m)))
     return hosts.select("host", "n_docs", F.round(shrunk("base"), 6).alias("host_rate"), rejected.alias("host_rejected"))
 
 

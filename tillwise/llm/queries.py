@@ -146,13 +146,14 @@ rates AS (
     FROM f WHERE source IS NOT NULL) GROUP BY source, rule),
 means AS (SELECT rule, sum(k) / sum(n) AS p FROM rates GROUP BY rule),
 priors AS (
-  SELECT rule, any_value(p) AS p, avg(pow(k / n - p, 2) - p * (1 - p) / n) AS v FROM rates JOIN means USING (rule) GROUP BY rule),
+  SELECT rule, any_value(p) AS p, sum(n * (pow(k / n - p, 2) - p * (1 - p) / n)) / sum(n) AS v FROM rates JOIN means USING (rule) GROUP BY rule),
 shrunk AS (
-  SELECT source, rule, (k + p * s) / (n + s) AS rate FROM rates JOIN (
+  SELECT source, rule, p, n + s AS weight, (k + p * s) / (n + s) AS rate FROM rates JOIN (
     SELECT rule, p, CASE WHEN v > 0 THEN least(greatest(p * (1 - p) / v - 1, 1), 1000) ELSE 1000 END AS s FROM priors) USING (rule)),
 hosts AS (
   SELECT source, round(max(rate) FILTER (rule = 'base'), 6) AS host_rate,
-    bool_or(rate > CASE WHEN rule = 'base' THEN 0.5 ELSE 0.9 END) AS rejected FROM shrunk GROUP BY source)
+    bool_or(rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > greatest(0.5, 4 * p / (1 - p + 4 * p))) AS rejected
+  FROM shrunk GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed,
   NOT base AND NOT coalesce(rejected, false) AS kept, host_rate, coalesce(rejected, false) AS host_rejected
 FROM f LEFT JOIN hosts USING (source)
