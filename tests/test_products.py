@@ -201,3 +201,56 @@ def test_popular_items_do_not_lead_to_all_blocks(spark, monkeypatch):
     assert found.count() == 1024 * 5 and found.agg(F.min("similarity")).first()[0] > 0.9
     # of 32 blocks a user visits a few besides its own
     assert visits.count() < 4 * 1024
+
+
+@pytest.mark.parametrize("items", [6, 60])
+def test_products_of_all_tiles_give_the_same_neighbours(spark, monkeypatch, items):
+    monkeypatch.setattr(n, "REACH", 0)
+    for name, value in {"TILE": 16, "STRIP": 5, "CELLS": 64, "HELD_WEIGHTS": 40}.items():
+        monkeypatch.setattr(n, name, value)
+    rng = random.Random(items)
+    rows = [
+        (f"u{u:03d}", f"i{i}", float(rng.choice([1, 1, 2, 3, 5, 0, -1] if u % 2 else [1, 2, 3])))
+        for u in range(120) for i in rng.sample(range(items), rng.randrange(1, 6))
+    ]
+    # a crowd of equal users, more than there are neighbours
+    rows += [(f"v{k:02d}", "i0", 2.0) for k in range(12)] + [("lone", "lone", 1.0), ("zero", "zero", 0.0)]
+    df = spark.createDataFrame(rows, "user string, item string, weight double")
+    m = df.toPandas().pivot_table(index="user", columns="item", values="weight", aggfunc="sum", fill_value=0)
+    for targets in (None, ["u001", "u064", "v03", "v11", "lone", "zero"]):
+        named = targets and spark.createDataFrame([(t,) for t in targets], "u string")
+        lists = {}
+        for r in n.similar_users(df, named).orderBy("user", "place").collect():
+            lists.setdefault(r["user"], []).append((r["neighbour"], round(r["similarity"], 9) + 0.0))
+        assert sorted(lists) == sorted(targets or m.index)
+        for user in lists:
+            similarity = cosine(m, user).drop(user) + 0.0
+            order = sorted(similarity.index, key=lambda u: (-similarity[u], u))[:5]
+            assert lists[user] == [(u, round(similarity[u], 9) + 0.0) for u in order]
+
+
+def test_customers_who_all_buy_the_same_items_visit_no_blocks(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK_USERS", 16)
+    rng = random.Random(3)
+    rows = [(u, f"i{i}", float(rng.randrange(1, 50))) for u in range(600) for i in rng.sample(range(12), 6)]
+    weights = spark.createDataFrame(rows, "user long, item string, weight double")
+    norms = weights.groupBy("user").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    targets = weights.select(F.col("user").alias("target")).distinct()
+    found, visits = n.positive_neighbours(weights, norms, targets, 5)
+    assert found.count() == 600 * 5 and visits.count() < 8 * 600
+
+
+def test_the_miner_sees_only_items_of_frequent_pairs(spark, monkeypatch):
+    rows = [(k, i) for k in range(60) for i in ("a", f"s{k % 20}")]
+    df = spark.createDataFrame(rows, "inv long, item string")
+
+    def unused(*args, **options):
+        raise AssertionError("no pair is frequent")
+
+    with monkeypatch.context() as m:
+        m.setattr(b, "FPGrowth", unused)
+        found = b.frequent_itemsets(b.build_baskets(df, "inv", "item", min_support=0.051))
+        assert values(found, "items", "freq") == [(["a"], 60)]
+    more = df.unionByName(spark.createDataFrame([(k, "z") for k in range(0, 60, 4)], "inv long, item string"))
+    found = b.frequent_itemsets(b.build_baskets(more, "inv", "item", min_support=0.051))
+    assert values(found, "items", "freq") == [(["a"], 60), (["a", "z"], 15), (["z"], 15)]
