@@ -86,14 +86,26 @@ def _mine(baskets: Baskets) -> DataFrame:
         return baskets.rows.sparkSession.createDataFrame([], "codes array<int>, freq long")
     with temporary() as own:
         rows = save(baskets.rows)
+        singles = rows.select(F.explode("items").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("freq"))
+        singles = singles.where(F.col("freq") >= baskets.least).select(F.array("code").alias("codes"), "freq")
+        # an item that is in no frequent pair is in no larger set, so the miner need not see it
+        twos = rows.select("items", F.explode("items").alias("a"))
+        twos = twos.select("a", F.explode(F.filter("items", lambda x: x > F.col("a"))).alias("b"))
+        twos = save(twos.groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= baskets.least))
+        paired = sorted({r["code"] for r in twos.select(F.explode(F.array("a", "b")).alias("code")).distinct().collect()})
+        if not paired:
+            return own.hand_over(singles)
+        taking = F.array(*[F.lit(c) for c in paired])
+        rows = save(rows.select(F.array_intersect("items", taking).alias("items")).where(F.size("items") > 1))
         filled = rows.count()
         # the miner rounds its threshold up from a share of the rows it sees
         share = (baskets.least - 0.5) / filled
         # few items to divide the work by, so more tasks than cores gain nothing
         parts = min(shuffle_width(rows), rows.sparkSession.sparkContext.defaultParallelism)
         miner = FPGrowth(itemsCol="items", minSupport=min(1.0, share), numPartitions=parts)
-        found = miner.fit(rows).freqItemsets
-        return own.hand_over(found.select(F.array_sort("items").alias("codes"), F.col("freq").cast("long")))
+        found = miner.fit(rows).freqItemsets.where(F.size("items") > 1)
+        found = found.select(F.array_sort("items").alias("codes"), F.col("freq").cast("long"))
+        return own.hand_over(singles.unionByName(found))
 
 
 def _named(codes, names: list[str]):
