@@ -95,6 +95,15 @@ def test_lm_learns_context():
     assert table[5, 6, 5] > table[5, 6, 6] + 0.5 and table[6, 5, 6] > table[6, 5, 5] + 0.5
 
 
+def test_lm_training_takes_all_counted_triples():
+    rng = np.random.default_rng(2)
+    triples = np.unique(rng.integers(0, lm_score.SYMBOLS**3, 2000))
+    triples = triples[triples % lm_score.SYMBOLS != lm_score.START]
+    n, other = rng.integers(1, 50, len(triples)), rng.permutation(len(triples))
+    # nothing is drawn, so their order does not matter
+    assert np.allclose(lm_score.train(triples, n), lm_score.train(triples[other], n[other]), atol=1e-2)
+
+
 def test_mix_meets_its_targets(spark):
     rows = queries.op3_mix_sources(spark, str(DATA / "sf0.01")).collect()
     docs = read("documents", str(DATA / "sf0.01"))

@@ -31,7 +31,7 @@ SHORT = SYMBOLS - 2 - CLASSES
 # words whose counts travel with the tasks: at most a fixed number, so a bounded size
 HEAD = 1 << 16
 FLUSH = 200_000
-DIM, NOISE, STEPS, BATCH = 24, 12, 1500, 1024
+DIM, NOISE, STEPS, RATE = 24, 12, 400, 0.1
 SLICE = 500
 
 
@@ -134,10 +134,11 @@ def train(triples: np.ndarray, n: np.ndarray, seed: int = 20240611) -> np.ndarra
     """log10 P(symbol | two before) for all contexts, from counted triples; START is never predicted.
 
     Score of symbol w after (u, v): (A r_u + B r_v) . q_w + b_w. Trained to tell counted triples from ones whose last
-    symbol is drawn from the symbols' frequencies, NOISE to one, by Adagrad on STEPS batches.
+    symbol is drawn from the symbols' frequencies, NOISE to one, by Adagrad. Each of the STEPS steps takes all counted triples
+    and the noise's expectation over all symbols, so nothing is drawn and no triple is left out.
     """
     rng = np.random.default_rng(seed)
-    second, first, out = triples // SYMBOLS**2, triples // SYMBOLS % SYMBOLS, triples % SYMBOLS
+    out = triples % SYMBOLS
     freq = np.bincount(out, weights=n, minlength=SYMBOLS) + 0.1
     freq[START] = 0
     freq /= freq.sum()
@@ -147,32 +148,28 @@ def train(triples: np.ndarray, n: np.ndarray, seed: int = 20240611) -> np.ndarra
         "r": rng.normal(0, 0.1, (SYMBOLS, DIM)), "q": rng.normal(0, 0.1, (SYMBOLS, DIM)),
         "A": np.eye(DIM) * 0.5, "B": np.eye(DIM), "b": log_noise.copy(),
     }
-    seen = {k: np.full_like(v, 1e-2) for k, v in p.items()}
+    seen = {k: np.full_like(v, 1e-8) for k, v in p.items()}
     if len(n):
-        pick, noise = np.cumsum(n) / n.sum(), np.cumsum(freq)
+        contexts, row = np.unique(triples // SYMBOLS, return_inverse=True)
+        u, v = contexts // SYMBOLS, contexts % SYMBOLS
+        true = np.bincount(row * SYMBOLS + out, weights=n / n.sum(), minlength=len(u) * SYMBOLS)
+        true = true.reshape(len(u), SYMBOLS).astype(np.float32)
+        false = NOISE * true.sum(axis=1)[:, None] * freq[None, :].astype(np.float32)
+        both = true + false
+        is_u, is_v = ((x[:, None] == every).astype(np.float32) for x in (u, v))
         for _ in range(STEPS):
-            at = np.minimum(np.searchsorted(pick, rng.random(BATCH)), len(n) - 1)
-            u, v = second[at], first[at]
-            false = np.minimum(np.searchsorted(noise, rng.random((BATCH, NOISE))), SYMBOLS - 1)
-            w = np.concatenate([out[at][:, None], false], axis=1)
             ru, rv = p["r"][u], p["r"][v]
             h = ru @ p["A"].T + rv @ p["B"].T
-            q = p["q"][w]
-            score = np.einsum("bd,bkd->bk", h, q) + p["b"][w] - log_noise[w] - math.log(NOISE)
-            error = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-            error[:, 0] -= 1
-            error /= BATCH
-            dh = np.einsum("bk,bkd->bd", error, q)
-            # errors per (row, symbol) as one matrix: its products sum over repeated symbols
-            place = (np.arange(BATCH)[:, None] * SYMBOLS + w).ravel()
-            by_symbol = np.bincount(place, weights=error.ravel(), minlength=BATCH * SYMBOLS).reshape(BATCH, SYMBOLS)
+            score = (h @ p["q"].T + (p["b"] - log_noise - math.log(NOISE))).astype(np.float32)
+            error = both / (1 + np.exp(-np.clip(score, -30, 30))) - true
+            dh = error @ p["q"]
             grad = {
-                "q": by_symbol.T @ h, "b": by_symbol.sum(axis=0), "A": dh.T @ ru, "B": dh.T @ rv,
-                "r": (u[:, None] == every).T @ (dh @ p["A"]) + (v[:, None] == every).T @ (dh @ p["B"]),
+                "q": error.T @ h, "b": error.sum(axis=0), "A": dh.T @ ru, "B": dh.T @ rv,
+                "r": is_u.T @ (dh @ p["A"]) + is_v.T @ (dh @ p["B"]),
             }
             for k, g in grad.items():
                 seen[k] += g * g
-                p[k] -= 0.05 * g / np.sqrt(seen[k])
+                p[k] -= RATE * g / np.sqrt(seen[k])
     left, right = p["r"] @ p["A"].T, p["r"] @ p["B"].T
     table = np.empty((SYMBOLS, SYMBOLS, SYMBOLS), np.float32)
     for u in range(SYMBOLS):
