@@ -254,3 +254,34 @@ def test_the_miner_sees_only_items_of_frequent_pairs(spark, monkeypatch):
     more = df.unionByName(spark.createDataFrame([(k, "z") for k in range(0, 60, 4)], "inv long, item string"))
     found = b.frequent_itemsets(b.build_baskets(more, "inv", "item", min_support=0.051))
     assert values(found, "items", "freq") == [(["a"], 60), (["a", "z"], 15), (["z"], 15)]
+
+
+@pytest.mark.parametrize("masked", [1024, 50])
+def test_equal_baskets_are_one_row_in_any_form(spark, monkeypatch, masked):
+    monkeypatch.setattr(b, "MASKED", masked)
+    # more items than a word has bits, the first of them also in one basket that holds all; "rare" has rows enough but not baskets
+    rows = [(k, f"p{k % 130:03d}") for k in range(1300)] + [(k, "p000") for k in range(1300)] + [(9999, f"p{k:03d}") for k in range(130)]
+    rows += [(5, "rare")] * 40
+    found = b.build_baskets(spark.createDataFrame(rows, "inv long, item string"), "inv", "item", min_support=11 / 1301)
+    assert found.total == 1301 and found.names == [f"p{k:03d}" for k in range(130)]
+    assert found.kinds.count() == 131 and found.rows.count() == 1301
+    sets = {tuple(r["items"]): r["freq"] for r in b.frequent_itemsets(found).collect()}
+    want = {("p000",): 1301} | {(f"p{k:03d}",): 11 for k in range(1, 130)} | {("p000", f"p{k:03d}"): 11 for k in range(1, 130)}
+    assert sets == want
+
+
+def test_choice_reads_best_sellers_once(spark, ratings, monkeypatch):
+    def unused(*args):
+        raise AssertionError("best sellers are known")
+
+    monkeypatch.setattr(n, "popular_items", unused)
+    chosen = recommend(ratings, "item", user_col="who", qty_col="qty")
+    assert chosen.algorithm_code == "collaborative" and chosen.user_recommendations.count() > 0
+    assert [tuple(r) for r in chosen.popular_items.collect()] == [tuple(r) for r in popular_items(ratings, "item", "qty").collect()]
+
+
+def test_first_users_add_up_no_weights(ratings):
+    first = n.first_users(n.user_item_weights(ratings, "who", "item", "qty"), 3)
+    assert [r["user"] for r in first.collect()] == ["u00", "u01", "u02"]
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert "item" not in plan.split("Aggregate", 1)[1].split("Project")[0] and plan.count("Aggregate") == 1

@@ -17,20 +17,39 @@ from tillwise.plans.scratch import save, temporary
 MIN_SUPPORT = 0.01
 MIN_LIFT = 1.0
 
+# items that go into bits of whole numbers, at most
+MASKED, WORD = 1024, 64
+
 
 @dataclass
 class Baskets:
     """Distinct items per basket as small codes; ``total`` counts emptied baskets too.
 
-    ``mined`` keeps the itemsets once they are found, for the reports made from them.
+    ``kinds`` has the baskets of equal items once, with their number ``n``. ``mined`` keeps the itemsets once they are found, for the
+    reports made from them.
     """
 
-    rows: DataFrame
+    kinds: DataFrame
     names: list[str]
     total: int
     least: int
     mined: DataFrame | None = None
 
+    @property
+    def rows(self) -> DataFrame:
+        """One row per basket."""
+        return _each(self.kinds)
+
+
+def _each(kinds: DataFrame) -> DataFrame:
+    """A row per basket, in as many partitions as the session shuffles to: a kind of many baskets is dealt out in parts."""
+    width = shuffle_width(kinds)
+    parts = kinds.select("items", "n", F.least("n", F.lit(width)).alias("parts"))
+    parts = parts.select("items", "n", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    size = F.expr("n div parts + if(part < n % parts, 1, 0)")
+    dealt = parts.select("items", size.alias("size"), "part").repartition(width, "part", "items")
+    return dealt.select("items", F.explode(F.sequence(F.lit(1).cast("long"), "size"))).select("items")
+
 
 def _least_count(total: int, share: float) -> int:
     """Smallest count whose share of ``total`` reaches the wanted one, in double arithmetic."""
@@ -50,9 +69,10 @@ def build_baskets(
 ) -> Baskets:
     """One array of item codes per basket that keeps any frequent item.
 
-    Pairs are made distinct first, spread by (invoice, item), so neither a huge invoice nor a
-    hot item meets in one task; only frequent items are gathered per invoice then, at most ``item_limit`` of them if given.
-    Minimum support bounds their number by the average basket's size over ``min_support``.
+    An item with fewer rows than the least number of baskets is not frequent, so only items with enough rows are gathered per
+    invoice: as bits of whole numbers, which tasks merge before anything is shuffled, so neither a huge invoice nor a hot item meets
+    in one task. Beyond MASKED such items, distinct pairs spread by (invoice, item) are gathered. At most ``item_limit`` items are kept if
+    given. Minimum support bounds the number of items by the average number of rows of a basket over ``min_support``.
     A quantity that is missing does not put its item into the basket.
     """
     lines = df.select(
@@ -60,18 +80,42 @@ def build_baskets(
         item_text(df, item_col).alias("item"),
         (known(df, qty_col).isNotNull() if qty_col and qty_col in df.columns else F.lit(True)).alias("bought"),
     ).where("invoice IS NOT NULL")
-    pairs = save(lines.groupBy("invoice", "item").agg(F.bool_or("bought").alias("bought")))
-    total = pairs.select("invoice").distinct().count()
-    least = _least_count(total, min_support) if total else 1
-    kept = pairs.where("bought").groupBy("item").agg(F.count(F.lit(1)).alias("baskets")).where(F.col("baskets") >= least)
-    kept = kept.orderBy(F.desc("baskets"), "item")
-    names = [r["item"] for r in (kept.limit(item_limit) if item_limit else kept).collect()]
-    codes = df.sparkSession.createDataFrame(list(enumerate(names)), "code int, item string")
-    rows = (
-        pairs.where("bought").join(F.broadcast(codes), "item")
-        .groupBy("invoice").agg(F.collect_set("code").alias("items"))
-    )
-    return Baskets(rows.select("items"), names, total, least)
+    with temporary() as own:
+        lines = save(lines)
+        total = lines.select("invoice").distinct().count()
+        least = _least_count(total, min_support) if total else 1
+        lines = lines.where("bought")
+        often = lines.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        likely = sorted(r["item"] for r in often.select("item").collect())
+        kinds = save(_kinds(lines, likely))
+        counts = kinds.select(F.explode("items").alias("code"), "n").groupBy("code").agg(F.sum("n").alias("baskets"))
+        counts = sorted((-r["baskets"], r["code"]) for r in counts.where(F.col("baskets") >= least).collect())
+        kept = [code for _, code in counts][: item_limit or None]
+        code = dict(zip(kept, range(len(kept)), strict=True))
+        if kept:
+            new = F.array(*[F.lit(code.get(k)).cast("int") for k in range(len(likely))])
+            items = F.filter(F.transform("items", lambda c: F.element_at(new, c + 1)), lambda c: c.isNotNull())
+            kinds = kinds.select(F.array_sort(items).alias("items"), "n").where(F.size("items") > 0)
+            # baskets may be equal but for items that are left out
+            kinds = kinds.groupBy("items").agg(F.sum("n").alias("n"))
+        kinds = own.hand_over(kinds if kept else kinds.limit(0))
+    return Baskets(kinds, [likely[code] for code in kept], total, least)
+
+
+def _kinds(lines: DataFrame, likely: list[str]) -> DataFrame:
+    """(items, n): the sets of codes (places in ``likely``) that baskets hold, and how many baskets hold just that set."""
+    codes = lines.sparkSession.createDataFrame(list(enumerate(likely)), "code int, item string")
+    coded = lines.join(F.broadcast(codes), "item").select("invoice", "code")
+    if len(likely) > MASKED:
+        gathered = coded.distinct().groupBy("invoice").agg(F.array_sort(F.collect_list("code")).alias("items"))
+        return gathered.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+    words = [f"_w{k}" for k in range(-(-len(likely) // WORD) or 1)]
+    bit = F.expr(f"shiftleft(1L, code % {WORD})")
+    inside = [F.when(F.floor(F.col("code") / WORD) == k, bit).otherwise(F.lit(0)) for k in range(len(words))]
+    masks = coded.groupBy("invoice").agg(*[F.bit_or(i).alias(w) for i, w in zip(inside, words, strict=True)])
+    masks = masks.groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
+    held = [f"transform(filter(sequence(0, {WORD - 1}), c -> (shiftright({w}, c) & 1) = 1), c -> c + {k * WORD})" for k, w in enumerate(words)]
+    return masks.select(F.concat(*[F.expr(h) for h in held]).alias("items"), "n")
 
 
 def _coded_itemsets(baskets: Baskets) -> DataFrame:
@@ -83,25 +127,26 @@ def _coded_itemsets(baskets: Baskets) -> DataFrame:
 
 def _mine(baskets: Baskets) -> DataFrame:
     if not baskets.names:
-        return baskets.rows.sparkSession.createDataFrame([], "codes array<int>, freq long")
+        return baskets.kinds.sparkSession.createDataFrame([], "codes array<int>, freq long")
     with temporary() as own:
-        rows = save(baskets.rows)
-        singles = rows.select(F.explode("items").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("freq"))
+        kinds = baskets.kinds
+        singles = kinds.select(F.explode("items").alias("code"), "n").groupBy("code").agg(F.sum("n").alias("freq"))
         singles = singles.where(F.col("freq") >= baskets.least).select(F.array("code").alias("codes"), "freq")
         # an item that is in no frequent pair is in no larger set, so the miner need not see it
-        twos = rows.select("items", F.explode("items").alias("a"))
-        twos = twos.select("a", F.explode(F.filter("items", lambda x: x > F.col("a"))).alias("b"))
-        twos = save(twos.groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= baskets.least))
+        twos = kinds.select("items", "n", F.explode("items").alias("a"))
+        twos = twos.select("a", "n", F.explode(F.filter("items", lambda x: x > F.col("a"))).alias("b"))
+        twos = save(twos.groupBy("a", "b").agg(F.sum("n").alias("freq")).where(F.col("freq") >= baskets.least))
         paired = sorted({r["code"] for r in twos.select(F.explode(F.array("a", "b")).alias("code")).distinct().collect()})
         if not paired:
             return own.hand_over(singles)
         taking = F.array(*[F.lit(c) for c in paired])
-        rows = save(rows.select(F.array_intersect("items", taking).alias("items")).where(F.size("items") > 1))
-        filled = rows.count()
+        kinds = save(kinds.select(F.array_intersect("items", taking).alias("items"), "n").where(F.size("items") > 1))
+        filled = kinds.agg(F.sum("n")).first()[0]
+        rows = _each(kinds)
         # the miner rounds its threshold up from a share of the rows it sees
         share = (baskets.least - 0.5) / filled
         # few items to divide the work by, so more tasks than cores gain nothing
-        parts = min(shuffle_width(rows), rows.sparkSession.sparkContext.defaultParallelism)
+        parts = min(shuffle_width(kinds), kinds.sparkSession.sparkContext.defaultParallelism)
         miner = FPGrowth(itemsCol="items", minSupport=min(1.0, share), numPartitions=parts)
         found = miner.fit(rows).freqItemsets.where(F.size("items") > 1)
         found = found.select(F.array_sort("items").alias("codes"), F.col("freq").cast("long"))

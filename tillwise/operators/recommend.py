@@ -51,6 +51,9 @@ def recommend(
             rules = market.top_rules(market.association_rules(found), top_n)
             return Recommendations("apriori", popular, association_rules=rules)
     if user_col and user_col in df.columns:
-        served = recommend_to_users(df, user_col, item_col, qty_col, targets, top_n)
+        # the caller and the customers' method read the same few rows
+        sellers = popular.collect()
+        popular = df.sparkSession.createDataFrame(sellers, popular.schema)
+        served = recommend_to_users(df, user_col, item_col, qty_col, targets, top_n, [r["item"] for r in sellers])
         return Recommendations("collaborative", popular, user_recommendations=served)
     return Recommendations("popularity", popular)
