@@ -11,6 +11,7 @@ from tillwise.operators import baskets as b
 from tillwise.operators import neighbours as n
 from tillwise.operators.popularity import popular_items
 from tillwise.operators.recommend import recommend
+from tillwise.plans import space
 
 
 @pytest.fixture(scope="module")
@@ -285,3 +286,51 @@ def test_first_users_add_up_no_weights(ratings):
     assert [r["user"] for r in first.collect()] == ["u00", "u01", "u02"]
     plan = first._jdf.queryExecution().optimizedPlan().toString()
     assert "item" not in plan.split("Aggregate", 1)[1].split("Project")[0] and plan.count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("items", [2, 5])
+def test_boxes_of_points_lose_no_neighbour(spark, monkeypatch, items):
+    for name, value in {"REACH": 0, "POINTS": 1, "TILE": 16, "VISITORS": 7, "STRIP": 5, "CELLS": 64}.items():
+        monkeypatch.setattr(n, name, value)
+    monkeypatch.setattr(space, "LEAF_POINTS", 12)
+    monkeypatch.setattr(n, "_products", None)
+    rng = random.Random(items)
+    rows = [
+        (f"u{u:03d}", f"i{i}", float(rng.choice([1, 2, 3, 5, 0, -1, 0.37])) * (1 if u % 3 else rng.random()))
+        for u in range(300) for i in rng.sample(range(items), rng.randrange(1, items + 1))
+    ]
+    # a crowd of equal users, one of users with a single item, users without weight
+    rows += [(f"v{k:02d}", i, 2.0) for k in range(12) for i in ("i0", "i1")] + [(f"s{k:02d}", "i1", k + 0.3) for k in range(40)]
+    rows += [("zero", "i1", 0.0), ("minus", "i0", -4.0), ("minus", "i1", -4.0)]
+    df = spark.createDataFrame(rows, "user string, item string, weight double")
+    m = df.toPandas().pivot_table(index="user", columns="item", values="weight", aggfunc="sum", fill_value=0)
+    for targets in (None, ["u001", "u150", "v03", "v11", "s07", "minus", "zero"]):
+        named = targets and spark.createDataFrame([(t,) for t in targets], "u string")
+        lists = {}
+        for r in n.similar_users(df, named).orderBy("user", "place").collect():
+            lists.setdefault(r["user"], []).append((r["neighbour"], r["similarity"]))
+        assert sorted(lists) == sorted(targets or m.index)
+        for user in lists:
+            similarity = cosine(m, user).drop(user)
+            assert [s for _, s in lists[user]] == pytest.approx(sorted(similarity, reverse=True)[:5], abs=1e-12)
+            assert [s for _, s in lists[user]] == pytest.approx([similarity[u] for u, _ in lists[user]], abs=1e-12)
+        # users of that item alone are all at exactly one, so the smaller keys come first
+        same = sorted(m.index[(m["i1"] > 0) & (m.drop(columns="i1") == 0).all(axis=1)].drop("s07"))
+        assert [u for u, _ in lists["s07"]] == same[:5]
+
+
+def test_points_visit_few_boxes(spark, monkeypatch):
+    monkeypatch.setattr(n, "POINTS", 1)
+    monkeypatch.setattr(space, "LEAF_POINTS", 64)
+    visits = {}
+    for users in (2000, 8000):
+        rng = np.random.default_rng(users)
+        rows = [(u, f"i{i}", float(w)) for u, five in enumerate(rng.uniform(1, 500, (users, 5))) for i, w in enumerate(five)]
+        weights = n.save(spark.createDataFrame(pd.DataFrame(rows, columns=["user", "item", "weight"])))
+        norms = weights.groupBy("user").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+        targets = weights.select(F.col("user").alias("target")).distinct()
+        found, reached = n.positive_neighbours(weights, norms, targets, 5)
+        assert found.count() == 5 * users
+        visits[users] = reached.count() / users
+    # four times the users and boxes, about as many visits of each user; all boxes would be 31 and 125
+    assert visits[8000] < 1.5 * visits[2000] < 1.5 * 20
