@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
@@ -334,3 +335,86 @@ def test_points_visit_few_boxes(spark, monkeypatch):
         visits[users] = reached.count() / users
     # four times the users and boxes, about as many visits of each user; all boxes would be 31 and 125
     assert visits[8000] < 1.5 * visits[2000] < 1.5 * 20
+
+
+def test_serving_all_reads_the_lines_once(spark, ratings):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(len(batch))
+            yield batch
+
+    lines = ratings.mapInPandas(counted, ratings.schema)
+    served = n.recommend_to_users(lines, "who", "item", "qty").collect()
+    assert len(served) >= 5 * 44 - 10 and rows.value == ratings.count()
+
+
+def test_popular_items_are_not_placed_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK_USERS", 1)
+    monkeypatch.setattr(n, "_placed", None)
+    rng = random.Random(11)
+    rows = [(u, f"i{i}", float(rng.randrange(1, 50))) for u in range(200) for i in rng.sample(range(12), 6)] + [(500, "rare", 1.0)]
+    near = n.similar_users(spark.createDataFrame(rows, "user long, item string, weight double"))
+    lists = {}
+    for r in near.orderBy("user", "place").collect():
+        lists.setdefault(r["user"], []).append((r["neighbour"], round(r["similarity"], 9), r["place"]))
+    m = pd.DataFrame(rows, columns=["u", "i", "w"]).pivot_table(index="u", columns="i", values="w", fill_value=0)
+    assert sorted(lists) == sorted(m.index)
+    for user in lists:
+        similarity = cosine(m, user).drop(user)
+        order = sorted(similarity.index, key=lambda u: (-similarity[u], u))[:5]
+        assert lists[user] == [(u, round(similarity[u], 9), k) for k, u in enumerate(order, 1)]
+
+
+def test_rows_reached_are_bounded_from_below(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK_USERS", 4)
+    # 100 targets, 5 of them with an item that needs one block; any other asks for an item of 25 blocks
+    buyers = spark.createDataFrame([("all", 100), ("most", 96), ("rare", 2), ("few", 3)], "item string, buyers long")
+    assert 95 * 16 <= n._rows_reached_at_least(buyers, 100) <= 95 * 24 + 5
+    assert n._rows_reached_at_least(buyers.limit(0), 0) == 0
+
+
+def test_users_without_weights_compare_with_nobody(spark, monkeypatch):
+    monkeypatch.setattr(n, "REACH", 0)
+    monkeypatch.setattr(n, "_similarities", None)
+    rows = [(u, f"i{(u + k) % 12}", float(k + 1)) for u in range(40) for k in range(4)] + [(7000, "i1", 0.0), (7001, "lone", 2.0)]
+    near = n.similar_users(spark.createDataFrame(rows, "user long, item string, weight double"))
+    assert near.count() == 5 * 42
+    for user in (7000, 7001):
+        listed = near.where(F.col("user") == user).orderBy("place").collect()
+        assert [(r["neighbour"], r["similarity"], r["place"]) for r in listed] == [(k, 0.0, k + 1) for k in range(5)]
+
+
+@pytest.mark.parametrize("items", [10, 100_000])
+def test_candidates_are_added_up_without_a_row_per_pair_and_item(spark, items):
+    rng = np.random.default_rng(items)
+    rows = [(f"u{u:03d}", f"p{i:06d}", float(w)) for u in range(90) for i, w in zip(rng.integers(0, items, 9), rng.integers(-1, 6, 9))]
+    weights = spark.createDataFrame(rows, "u string, i string, q double").groupBy("u", "i").agg(F.sum("q").alias("q")).toDF("user", "item", "weight")
+    weights = n.save(weights)
+    users = [f"u{u:03d}" for u in range(90)]
+    chosen = {u: [v for v in rng.choice(users, 6, replace=False) if v != u][:5] for u in users}
+    pairs = [(u, str(v), 0.5, k) for u, some in chosen.items() for k, v in enumerate(some, 1)]
+    offered = n.candidate_items(weights, spark.createDataFrame(pairs, "user string, neighbour string, similarity double, place int"), 3)
+    assert "Generate" not in offered._jdf.queryExecution().toString()
+    held = weights.toPandas().groupby("user")[["item", "weight"]].apply(lambda g: dict(zip(g["item"], g["weight"]))).to_dict()
+    got = {u: [] for u in users}
+    for r in offered.orderBy("user", "place").collect():
+        got[r["user"]].append((r["item"], r["score"], r["place"]))
+    for u in users:
+        total = {}
+        for v in chosen[u]:
+            for i, w in held[str(v)].items():
+                total[i] = total.get(i, 0) + w
+        fresh = [i for i, s in total.items() if s > 0 and not held[u].get(i, 0) > 0]
+        best = sorted(fresh, key=lambda i: (-total[i], i))[:3]
+        assert got[u] == [(i, total[i], k) for k, i in enumerate(best, 1)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_runs_of_a_key_stay_together_whatever_the_batches(size):
+    keys = ["a", "a", "a", "b", "c", "c", "c", "c", "c", "d"]
+    rows = pa.RecordBatch.from_pydict({"key": keys, "row": list(range(10))})
+    runs = list(n._in_runs(iter([rows.slice(at, size) for at in range(0, 10, size)]), "key"))
+    assert [r for batch, _ in runs for r in batch.column("row").to_pylist()] == list(range(10))
+    assert [batch.column("key")[int(s)].as_py() for batch, starts in runs for s in starts] == ["a", "b", "c", "d"]
