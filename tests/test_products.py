@@ -418,3 +418,14 @@ def test_runs_of_a_key_stay_together_whatever_the_batches(size):
     runs = list(n._in_runs(iter([rows.slice(at, size) for at in range(0, 10, size)]), "key"))
     assert [r for batch, _ in runs for r in batch.column("row").to_pylist()] == list(range(10))
     assert [batch.column("key")[int(s)].as_py() for batch, starts in runs for s in starts] == ["a", "b", "c", "d"]
+
+
+@pytest.mark.parametrize(
+    ("numbers", "width"),
+    [([1, 2, 255], 1), ([1, 256], 2), ([1, 1 << 20], 4), ([1, 1 << 40], 8), ([-1, 3], 8), ([0.5, 7.0], 4), ([0.1, 7.0], 8), ([1e300], 8)],
+)
+def test_numbers_of_a_tile_travel_as_bytes_of_the_narrowest_type(numbers, width):
+    packed = n._bytes(np.array(numbers))
+    assert len(packed) == 1 + width * len(numbers)
+    back = n._numbers(pa.array([b"other", packed], pa.binary())[1])
+    assert back.tolist() == numbers and back.dtype == np.array(numbers).dtype
